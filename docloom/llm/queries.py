@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing
+from . import chat, licenses, minhash, mixing
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_perspective_rotation": chat.query,
         "op3_license_scan": licenses.query,
         "op6_source_mix": mixing.query,
+        "op7_minhash_components": minhash.query,
     }
 
 
@@ -18,4 +19,5 @@ def oracle_sql():
         "op1_perspective_rotation": chat.ORACLE_SQL,
         "op3_license_scan": licenses.ORACLE_SQL,
         "op6_source_mix": mixing.ORACLE_SQL,
+        "op7_minhash_components": minhash.ORACLE_SQL,
     }
