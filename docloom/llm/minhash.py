@@ -11,7 +11,8 @@ component is everything that links reach.
    most of every group with one comparison per class.
 4. Buckets that still hold several components are gone through exhaustively, but only pairs of different components:
    signatures first, then, where they pass, full sets. Large buckets are cut into blocks of ``block`` classes and
-   each pair of blocks is a task of its own, so memory is bounded; links are only sent on when they join components.
+   each pair of blocks, but for two of the bucket's largest component, is
+   gone through by itself, so memory is bounded; links are only sent on when they join components.
 5. Components of all links by alternating large-star and small-star.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing. A text with fewer
@@ -309,10 +310,14 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links, scratch, f"stars{k}")
     at = members.join(labels, members.cid == labels.node, "left").select("key", "cid", F.coalesce("label", "cid").alias("comp"))
-    open_buckets = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    left = at.join(open_buckets.select("key", F.ceil(F.col("size") / block).alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
-    # a class goes to every pair of blocks that holds its own
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    open_buckets = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("major"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    cut = open_buckets.select("key", "major.comp", F.ceil((F.col("size") - F.col("major.n")) / block).alias("minors"), F.ceil(F.col("major.n") / block).alias("majors")).withColumnRenamed("comp", "major")
+    # blocks of the bucket's largest component (numbered after the others) needn't meet each other
+    big = F.col("comp") == F.col("major")
+    draw = F.xxhash64("cid")
+    left = at.join(cut, "key").withColumn("part", F.when(big, F.col("minors") + F.pmod(draw, "majors")).otherwise(F.pmod(draw, "minors")))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(big, F.col("minors") - 1).otherwise(F.col("minors") + F.col("majors") - 1))))
     left = scratch.save(left.select("key", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "cid", "comp"), "left")
     sketches = classes.select("cid", "bands", "minima")
     dealt = left.join(sketches, "cid").repartition("key", "part_a", "part_b").sortWithinPartitions(*GROUP, "cid")

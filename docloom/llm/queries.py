@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, minhash, mixing
+from . import chat, gbt, licenses, linedup, minhash, mixing, packing, toxicity
 
 
 def queries():
     return {
         "op1_perspective_rotation": chat.query,
         "op3_license_scan": licenses.query,
+        "op5_line_chunks": linedup.query,
         "op6_source_mix": mixing.query,
         "op7_minhash_components": minhash.query,
+        "op8_ftrl_toxicity": toxicity.query,
+        "op9_concat_packing": packing.query,
+        "op10_quality_trees": gbt.query,
     }
 
 
