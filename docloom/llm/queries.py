@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, gbt, licenses, linedup, minhash, mixing, packing, toxicity
+from . import chat, gbt, licenses, linedup, lsh, minhash, mixing, mtree, packing, toxicity
 
 
 def queries():
     return {
         "op1_perspective_rotation": chat.query,
+        "op2_mtree_topk": mtree.query,
         "op3_license_scan": licenses.query,
+        "op4_collision_counting": lsh.query,
         "op5_line_chunks": linedup.query,
         "op6_source_mix": mixing.query,
         "op7_minhash_components": minhash.query,
@@ -21,6 +23,7 @@ def queries():
 def oracle_sql():
     return {
         "op1_perspective_rotation": chat.ORACLE_SQL,
+        "op2_mtree_topk": mtree.ORACLE_SQL,
         "op3_license_scan": licenses.ORACLE_SQL,
         "op6_source_mix": mixing.ORACLE_SQL,
         "op7_minhash_components": minhash.ORACLE_SQL,
