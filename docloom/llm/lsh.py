@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from . import grid
 
-HASHES, THRESHOLD, SHARE = 64, 45, 0.06
+HASHES, THRESHOLD, SHARE = 64, 45, 0.12
 
 
 def projections(dim: int) -> np.ndarray:
