@@ -4,7 +4,7 @@ Each of 64 hash functions is one projection; per block and projection the points
 with their rows. A query takes, in every array, the window around its own projection, widens all windows step by
 step (virtual rehashing) and counts for every point in how many windows it lies. A point that reaches the
 collision threshold is verified: its inner product with the query is computed from the original vectors. Widening ends when
-``share`` of the block, and no fewer than five times k, have been verified, or the windows hold everything.
+``share`` of the block, and no fewer than eight times k, have been verified, or the windows hold everything.
 
 The largest inner product is the smallest distance once a coordinate is added that gives all points of a block one
 norm and queries are scaled to it. Projections are taken in orthogonal groups, from a fixed seed. Every row is indexed.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from . import grid
 
-HASHES, THRESHOLD, SHARE = 64, 45, 0.12
+HASHES, THRESHOLD, SHARE = 64, 45, 0.25
 
 
 def projections(dim: int) -> np.ndarray:
@@ -42,7 +42,7 @@ def search_one(index: dict, query_id: int, q: np.ndarray, hashed: np.ndarray, k:
     """Rows of the points that reach the threshold."""
     order, keys = index["order"], index["sorted"]
     n = order.shape[1]
-    enough = min(n, max(5 * k, int(np.ceil(share * n))) + 1)
+    enough = min(n, max(8 * k, int(np.ceil(share * n))) + 1)
     counts = np.zeros(n, np.int64)
     begin = np.array([np.searchsorted(row, h) for row, h in zip(keys, hashed)])
     end = begin.copy()
