@@ -4,7 +4,7 @@ Each of 64 hash functions is one projection; per block and projection the points
 with their rows. A query takes, in every array, the window around its own projection, widens all windows step by
 step (virtual rehashing) and counts for every point in how many windows it lies. A point that reaches the
 collision threshold is verified: its inner product with the query is computed from the original vectors. Widening ends when
-``share`` of the block, and no fewer than eight times k, have been verified, or the windows hold everything.
+``share`` of the block, and no fewer than LEAST times k, have been verified, or the windows hold everything.
 
 The largest inner product is the smallest distance once a coordinate is added that gives all points of a block one
 norm and queries are scaled to it. Projections are taken in orthogonal groups, from a fixed seed. Every row is indexed.
@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 
 from . import grid
 
-HASHES, THRESHOLD, SHARE = 64, 45, 0.25
+HASHES, THRESHOLD, SHARE, LEAST = 64, 45, 0.08, 25
+#: The share of points that a query's first windows hold.
+FIRST = 0.6
 
 
 def projections(dim: int) -> np.ndarray:
@@ -38,40 +40,58 @@ def build(ids: np.ndarray, x: np.ndarray) -> dict:
     return {"ids": ids, "x": x, "order": order, "sorted": np.take_along_axis(hashes, order, 1)}
 
 
-def search_one(index: dict, query_id: int, q: np.ndarray, hashed: np.ndarray, k: int, threshold: int, share: float) -> np.ndarray:
-    """Rows of the points that reach the threshold."""
-    order, keys = index["order"], index["sorted"]
-    n = order.shape[1]
-    enough = min(n, max(8 * k, int(np.ceil(share * n))) + 1)
-    counts = np.zeros(n, np.int64)
-    begin = np.array([np.searchsorted(row, h) for row, h in zip(keys, hashed)])
-    end = begin.copy()
-    # the first window holds about half of the points; then windows widen by a fifth
-    half = np.sort(np.abs(keys[:, :: max(1, n // 256)] - hashed[:, None]), axis=None)
-    width = max(float(half[len(half) // 2]), 1e-6)
-    while True:
-        new = []
-        for j, (row, h) in enumerate(zip(keys, hashed)):
-            lo, hi = np.searchsorted(row, h - width, "left"), np.searchsorted(row, h + width, "right")
-            lo, hi = min(lo, begin[j]), max(hi, end[j])
-            new.append(order[j, lo : begin[j]])
-            new.append(order[j, end[j] : hi])
-            begin[j], end[j] = lo, hi
-        counts += np.bincount(np.concatenate(new), minlength=n)
-        met = np.flatnonzero(counts >= threshold)
-        if len(met) >= enough or (begin == 0).all() and (end == n).all():
-            return met
-        width *= 1.08
+def candidates(index: dict, hashed: np.ndarray, enough: int, threshold: int) -> list[np.ndarray]:
+    """For each query (a row of hashed) the rows of the points that reach the threshold; queries widen together.
+
+    A first window holds most of the points, so the points outside are counted, and taken from all HASHES.
+    """
+    order, keys = index["order"].astype(np.intp), index["sorted"]
+    n, m = order.shape[1], len(hashed)
+    sample = keys[:, :: max(1, n // 64)]
+    away = np.abs(sample[:, None, :] - hashed.T[:, :, None])
+    width = np.quantile(away, FIRST, axis=(0, 2)).astype(np.float32) + np.float32(1e-7)
+    begin, end = np.zeros((HASHES, m), np.intp), np.full((HASHES, m), n, np.intp)
+    for j in range(HASHES):
+        begin[j], end[j] = np.searchsorted(keys[j], hashed[:, j] - width, "left"), np.searchsorted(keys[j], hashed[:, j] + width, "right")
+    counts = np.empty((m, n), np.int16)
+    for q in range(m):
+        outside = [order[j, : begin[j, q]] for j in range(HASHES)] + [order[j, end[j, q] :] for j in range(HASHES)]
+        counts[q] = HASHES - np.bincount(np.concatenate(outside), minlength=n)
+    out: list[np.ndarray] = [np.zeros(0, np.intp)] * m
+    waiting = np.arange(m)
+    while len(waiting):
+        left = []
+        for q in waiting.tolist():
+            out[q] = np.flatnonzero(counts[q] >= threshold)
+            if len(out[q]) < enough and not ((begin[:, q] == 0).all() and (end[:, q] == n).all()):
+                left.append(q)
+        waiting = np.array(left, np.intp)
+        if not left:
+            break
+        width[waiting] *= np.float32(1.08)
+        was_begin, was_end = begin[:, waiting].copy(), end[:, waiting].copy()
+        for j in range(HASHES):
+            begin[j, waiting] = np.minimum(was_begin[j], np.searchsorted(keys[j], hashed[waiting, j] - width[waiting], "left"))
+            end[j, waiting] = np.maximum(was_end[j], np.searchsorted(keys[j], hashed[waiting, j] + width[waiting], "right"))
+        for k, q in enumerate(left):
+            rings = [order[j, begin[j, q] : was_begin[j, k]] for j in range(HASHES)] + [order[j, was_end[j, k] : end[j, q]] for j in range(HASHES)]
+            counts[q] += np.bincount(np.concatenate(rings), minlength=n).astype(np.int16)
+    return out
 
 
 def look(index: dict, ids: np.ndarray, x: np.ndarray, k: int, threshold: int = THRESHOLD, share: float = SHARE):
+    n = len(index["ids"])
+    enough = min(n, max(LEAST * k, int(np.ceil(share * n))) + 1)
     out = ([], [], [])
     lengths = np.sqrt((x * x).sum(1))[:, None]
     hashed = (np.concatenate((x / lengths, np.zeros((len(x), 1))), 1) @ projections(x.shape[1] + 1).T).astype(np.float32)
-    for query_id, q, h in zip(ids.tolist(), x, hashed):
-        met = search_one(index, query_id, q, h, k, threshold, share)
+    for query_id, q, met in zip(ids.tolist(), x, candidates(index, hashed, enough, threshold)):
         met = met[index["ids"][met] != query_id]
         scores = index["x"][met] @ q
+        if len(met) > k:
+            # all that tie with the k-th stay for the order by id
+            near = scores >= np.partition(scores, -k)[-k]
+            met, scores = met[near], scores[near]
         best = np.lexsort((index["ids"][met], -scores))[:k]
         for got, more in zip(out, ([query_id] * len(best), index["ids"][met][best].tolist(), scores[best].tolist())):
             got += more
@@ -79,7 +99,7 @@ def look(index: dict, ids: np.ndarray, x: np.ndarray, k: int, threshold: int = T
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
-    return grid.search(vectors, k, every, build, lambda index, ids, x: look(index, ids, x, k), True, "double", label="lsh")
+    return grid.search(vectors, k, every, build, lambda index, ids, x: look(index, ids, x, k), True, "double", per_block=16384, label="lsh")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

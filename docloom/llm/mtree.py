@@ -22,30 +22,34 @@ from pyspark.sql import functions as F
 
 from . import grid
 
-LEAF, FANOUT = 128, 16
+LEAF, FANOUT = 512, 16
 
 
 def distances(c: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((x - c) ** 2).sum(1), 0))
 
 
-def build(ids: np.ndarray, x: np.ndarray) -> dict:
-    """Pages of an M-tree, loaded top down: a node's points go to the nearest of FANOUT drawn routing objects."""
+def build(ids: np.ndarray, x: np.ndarray, leaf: int = LEAF) -> dict:
+    """Pages of an M-tree, loaded top down: a node's points go to the nearest of up to FANOUT drawn routing objects."""
     norms = (x * x).sum(1)
     top = norms.max()
     aug = np.concatenate((x, np.sqrt(np.maximum(top - norms, 0))[:, None]), 1)
     rng = np.random.default_rng(len(ids))
     nodes: list[dict] = []
+    placed: list[np.ndarray] = []
 
     def page(rows: np.ndarray, center: np.ndarray | None) -> int:
         at = len(nodes)
         nodes.append({})
-        if len(rows) <= LEAF:
+        if len(rows) <= leaf:
             away = distances(center, aug[rows]) if center is not None else np.zeros(len(rows))
             order = np.argsort(away, kind="stable")
-            nodes[at] = {"rows": rows[order], "away": away[order]}
+            # the points of a page lie together
+            begin = sum(map(len, placed))
+            placed.append(rows[order])
+            nodes[at] = {"rows": slice(begin, begin + len(rows)), "away": away[order]}
             return at
-        chosen = rng.choice(rows, min(FANOUT, len(rows)), replace=False)
+        chosen = rng.choice(rows, max(2, min(FANOUT, -(-2 * len(rows) // leaf))), replace=False)
         every = np.stack([distances(aug[c], aug[rows]) for c in chosen])
         near = every.argmin(0)
         if (near == near[0]).all():  # copies: cut the page by number
@@ -61,14 +65,15 @@ def build(ids: np.ndarray, x: np.ndarray) -> dict:
         return at
 
     page(np.arange(len(ids)), None)
-    return {"ids": ids, "x": x, "top": top, "nodes": nodes}
+    order = np.concatenate(placed)
+    return {"ids": ids[order], "x": x[order], "top": top, "nodes": nodes}
 
 
-def search_one(tree: dict, query_id: int, q: np.ndarray, k: int, small: bool) -> tuple[list[int], list[int], int]:
+def search_one(tree: dict, query_id: int, q: np.ndarray, k: int) -> tuple[list[int], list[int], int]:
     """ids and scores of the k best, and how many inner products were computed."""
     x, ids, nodes = tree["x"], tree["ids"], tree["nodes"]
-    target = np.append(q, 0.0)
-    base = float(q @ q) + float(tree["top"])
+    target = np.append(q, 0).astype(float)
+    base = float(target @ target) + float(tree["top"])
     slack = 1e-6 * (1 + np.sqrt(base))
     best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
     bound, computed = np.inf, 0
@@ -79,18 +84,23 @@ def search_one(tree: dict, query_id: int, q: np.ndarray, k: int, small: bool) ->
             break
         node = nodes[at]
         if "rows" in node:
-            rows = node["rows"]
-            if not np.isnan(to_parent):
-                rows = rows[np.abs(node["away"] - to_parent) <= bound + slack]
-            rows = rows[ids[rows] != query_id]
-            if not len(rows):
-                continue
-            computed += len(rows)
-            scores = (x[rows] @ q).astype(np.int64) if small else x[rows].astype(np.int64) @ q.astype(np.int64)
+            rows, near = node["rows"], None
+            if not np.isnan(to_parent) and bound < np.inf:
+                near = np.abs(node["away"] - to_parent) <= bound + slack
+                n = np.count_nonzero(near)
+                if not n:
+                    continue
+                near = None if n > 0.6 * len(near) else near
+            page, names = (x[rows], ids[rows]) if near is None else (x[rows][near], ids[rows][near])
+            computed += len(names)
+            scores = (page @ q).astype(np.int64)
+            ok = names != query_id
             if len(best) == k:
-                ok = scores >= best[-1]
-                rows, scores = rows[ok], scores[ok]
-            best, best_ids = np.concatenate((best, scores)), np.concatenate((best_ids, ids[rows]))
+                ok &= scores >= best[-1]
+            if not ok.any():
+                continue
+            scores, names = scores[ok], names[ok]
+            best, best_ids = np.concatenate((best, scores)), np.concatenate((best_ids, names))
             order = np.lexsort((best_ids, -best))[:k]
             best, best_ids = best[order], best_ids[order]
             if len(best) == k:
@@ -109,11 +119,12 @@ def search_one(tree: dict, query_id: int, q: np.ndarray, k: int, small: bool) ->
 
 
 def look(tree: dict, ids: np.ndarray, x: np.ndarray, k: int = 5):
-    # sums of products that doubles hold exactly
-    small = float(np.abs(tree["x"]).max()) * float(np.abs(x).max()) * x.shape[1] < 2**52
-    out = ([], [], [])
+    # the shortest numbers that hold all sums of products exactly
+    most = float(np.abs(tree["x"]).max()) * float(np.abs(x).max()) * x.shape[1]
+    kind = np.float32 if most < 2**23 else np.float64 if most < 2**52 else np.int64
+    tree, x, out = tree | {"x": tree["x"].astype(kind)}, x.astype(kind), ([], [], [])
     for query_id, q in zip(ids.tolist(), x):
-        found, scores, _ = search_one(tree, query_id, q, k, small)
+        found, scores, _ = search_one(tree, query_id, q, k)
         for got, more in zip(out, ([query_id] * len(found), found, scores)):
             got += more
     return out
@@ -122,7 +133,7 @@ def look(tree: dict, ids: np.ndarray, x: np.ndarray, k: int = 5):
 def top(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     whole = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.floor(v * scale).cast("double"))
     scaled = vectors.select("vec_id", F.when(F.forall(F.col("embedding").cast("array<double>"), lambda v: F.abs(v * scale) <= 2**28), whole).alias("embedding"))
-    return grid.search(scaled, k, every, build, lambda tree, ids, x: look(tree, ids, x, k), False, "long", label="mtree")
+    return grid.search(scaled, k, every, build, lambda tree, ids, x: look(tree, ids, x, k), False, "long", per_block=16384, label="mtree")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
