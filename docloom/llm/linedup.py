@@ -12,7 +12,8 @@ same result. A null doc_id comes first in order. A text that is removed whole be
 An empty table gives an empty result. Extra columns are carried along.
 
 Scale: hashes of chunks are shuffled, not texts; only chunks that repeat are sent to be compared. One join on the
-hash meets hot chunks, with one row per hash on its other side, so Spark can split it.
+hash meets hot chunks, with one row per hash on its other side, so Spark can split it. Texts meet the marks by shuffled
+hash joins at every size: texts are never sorted, and the plan doesn't change as tables grow.
 """
 
 from __future__ import annotations
@@ -101,19 +102,22 @@ def repeats(docs: DataFrame, every: int = 4, longest: int = 16, long_words: int
     per_doc = scratch.save(found.groupBy("k1", "k2").agg(F.collect_set("hit").alias("found")), "found")
     scratch.tidy()
     with small_batches(docs.sparkSession, 500):
-        pieces = texts.join(per_doc, ["k1", "k2"]).select("k1", "k2", "text", "found")
+        pieces = texts.join(per_doc.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "found")
         pieces = scratch.save(pieces.mapInArrow(piece_rows, "k1 long, k2 long, begin long, end long, h1 long, h2 long, first boolean, piece binary"), "pieces")
     scratch.tidy()
     model = pieces.where("first").groupBy("h1", "h2").agg(F.first("piece").alias("model"))
     same = pieces.where("not first").join(model, ["h1", "h2"]).where("piece = model")
-    return scratch.save(same.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("ranges")), "repeats")
+    out = scratch.save(same.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("ranges")), "repeats")
+    scratch.drop("chunks", "found", "pieces")
+    scratch.tidy()
+    return out
 
 
 def remove(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """docs with the marked lines taken out of text; n_chars, where it is, follows."""
     names = docs.columns
     whole = docs.select(F.struct(*names).alias("row"), "doc_id", "text")
-    joined = keyed(whole).join(marked, ["k1", "k2"], "left")
+    joined = keyed(whole).join(marked.hint("shuffle_hash"), ["k1", "k2"], "left")
     gone = lambda i: F.exists("ranges", lambda r: (i >= r["begin"]) & (i < r["end"]))
     kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~gone(i)), "\n")
     text = F.when(F.col("ranges").isNull(), F.col("row.text").cast("string")).otherwise(kept)
@@ -129,7 +133,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     """doc_id, removed_chunks, removed_lines, kept_chars, kept_md5 of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     marked = repeats(docs)
-    counts = keyed(docs).join(marked, ["k1", "k2"], "left")
+    counts = keyed(docs).join(marked.hint("shuffle_hash"), ["k1", "k2"], "left")
     lines = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
     gone = lambda i: F.exists("ranges", lambda r: (i >= r["begin"]) & (i < r["end"]))
     kept = F.when(F.col("ranges").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~gone(i)), "\n"))
