@@ -78,11 +78,16 @@ def shingle_sets(texts: list[bytes | None], words: int, cache: WordHashes) -> It
         yield np.unique(mixed(s + np.uint64(k)))
 
 
-def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.full(SIGNATURE, 2**32 - 1, np.uint64)
-    for i in range(0, len(s), 2048):
-        np.minimum(out, ((s[i : i + 2048, None] * a + b) >> np.uint64(32)).min(0), out=out)
-    return out
+def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 512) -> np.ndarray:
+    """The minima; a run of ``step`` shingles and its hashes fit in the processor's cache."""
+    out = np.full(SIGNATURE, 2**64 - 1, np.uint64)
+    hashed = np.empty((SIGNATURE, min(step, len(s))), np.uint64)
+    for i in range(0, len(s), step):
+        run = s[i : i + step]
+        h = np.multiply(run, a[:, None], out=hashed[:, : len(run)])
+        h += b[:, None]
+        np.minimum(out, h.min(1), out=out)
+    return out >> np.uint64(32)
 
 
 def sketched(batches, words: int):
