@@ -258,28 +258,33 @@ def joining(batches, percent: int):
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, tag: str, most: int = 60) -> DataFrame:
-    """Alternating large-star and small-star. edges: u, v. Returns node, label (the smallest node of its component)."""
+    """Alternating large-star and small-star, until every node hangs on one that hangs on none.
+
+    edges: u, v. Returns node, label (the smallest node of its component).
+    """
     now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{tag}-0")
-    state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     for k in range(1, most):
-        if not state[0]:
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("hangs")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("hangs")))
+        if not ends.groupBy("node").agg(F.sum("hangs").alias("n"), F.min("hangs").alias("low")).where("n > 1 or n = 1 and low = 0").count():
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = scratch.save(small, f"{tag}-{k}")
-        now, before, state = new, state, new.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        now = scratch.save(small, f"{tag}-{k}")
         scratch.drop(f"{tag}-{k - 1}")
-        if state == before:
-            break
     else:
         raise RuntimeError("components did not settle")
     # stars of (node, smallest): the smallest names itself
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def stars(labels: DataFrame) -> DataFrame:
+    """The edges that components are known by; later links are added to these."""
+    return labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
+
+
 def components(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 512) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -301,7 +306,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
     def side(name: str) -> DataFrame:
         return sets.select(F.col("cid").alias(name), F.col("minima").alias(f"minima_{name}"), F.col("members").alias(f"members_{name}"))
 
-    links, labels = None, None
+    labels = None
     for k in range(2):
         at = members if labels is None else members.join(labels, members.cid == labels.node, "left").select("key", "cid", "size", F.coalesce("label", "cid").alias("comp"))
         at = at if labels is not None else at.withColumn("comp", F.col("cid"))
@@ -312,7 +317,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
         with small_batches(spark, 500):
             found = scratch.save(compared.mapInArrow(lambda it: verified(it, percent), "u long, v long"), f"links{k}")
         scratch.tidy()
-        links = found if links is None else links.unionByName(found)
+        links = found if labels is None else found.unionByName(stars(labels))
         labels = connected_components(links, scratch, f"stars{k}")
     at = members.join(labels, members.cid == labels.node, "left").select("key", "cid", F.coalesce("label", "cid").alias("comp"))
     sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
@@ -333,7 +338,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
     with small_batches(spark, 500):
         found = scratch.save(again.mapInArrow(lambda it: joining(it, percent), "u long, v long"), "links2")
     scratch.tidy()
-    labels = connected_components(links.unionByName(found), scratch, "stars2")
+    labels = connected_components(found.unionByName(stars(labels)), scratch, "stars2")
     named = classes.join(labels, classes.cid == labels.node, "left").select("h1", "h2", F.coalesce("label", "cid").alias("component_id"))
     out = base.select("doc_id", "n", "h1", "h2", (F.col("n") > 0).alias("full")).join(named, ["h1", "h2"], "left")
     component = F.when(F.col("full") & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
