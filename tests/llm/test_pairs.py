@@ -107,6 +107,53 @@ def test_line_chunks(spark):
     assert linedup.deduplicate(df.where("false")).count() == 0
 
 
+def brute_runs(rows, least=50):
+    """Lines of every run of lines with ``least`` words that an earlier text has."""
+    out = {}
+    for k, (i, t) in enumerate(rows):
+        mine, gone = t.split("\n"), set()
+        for _, other in rows[:k]:
+            theirs = other.split("\n")
+            for a, x in enumerate(mine):
+                for b, y in enumerate(theirs):
+                    n = 0
+                    while x == y and a + n < len(mine) and b + n < len(theirs) and mine[a + n] == theirs[b + n]:
+                        n += 1
+                    if sum(len(z.split()) for z in mine[a : a + n]) >= least:
+                        gone |= set(range(a, a + n))
+        out[i] = "\n".join(x for j, x in enumerate(mine) if j not in gone)
+    return out
+
+
+def test_line_chunks_short_passages(spark):
+    """Passages of 2 to 6 lines, each line under 50 words, between lines of their own text."""
+    rng = random.Random(11)
+    line = lambda low, high: " ".join(rng.choice(WORDS) for _ in range(rng.randint(low, high)))
+    passages = [[line(52 // n + 1, 45) for _ in range(n)] for n in (2, 3, 4, 5, 6) for _ in range(4)] + [[line(30, 30), line(30, 30), line(3, 3)], [line(3, 3), line(60, 60), line(4, 4)]]
+    rows = []
+    for copy in range(3):
+        for p in passages:
+            rows.append((len(rows), "\n".join([line(3, 20) for _ in range(rng.randint(1, 5))] + p + [line(3, 20) for _ in range(rng.randint(1, 5))])))
+    want = brute_runs(rows)
+    assert all(("\n".join(p) in want[k]) == (k < len(passages)) for k, p in enumerate(passages * 3))
+    got = {r.doc_id: r.text for r in linedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_line_chunks_cover():
+    """Any run of 50 words is covered by windows inside it; lines that repeat themselves keep a first run."""
+    rng = random.Random(2)
+    for _ in range(300):
+        words = [rng.choice([0, 1, 5, 20, 49, 70]) for _ in range(rng.randint(1, 14))]
+        found = linedup.windows(words, 50)
+        for a in range(len(words)):
+            for b in range(a + 1, len(words) + 1):
+                if words[a] and words[b - 1] and sum(words[a:b]) >= 50:
+                    assert set().union(*(range(x, y) for x, y in found if a <= x and y <= b)) == set(range(a, b))
+    kept = brute_lines([(1, "x\n" * 400)])[1].split("\n")
+    assert 50 <= kept.count("x") < 100
+
+
 def test_line_chunk_repeats_of_rows(spark):
     text = "\n".join(f"line number {i} of it" for i in range(20))
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "other\nlines here")], "doc_id long, text string")
