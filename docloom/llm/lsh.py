@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from . import grid
 
-HASHES, THRESHOLD, SHARE, LEAST = 64, 45, 0.08, 25
+HASHES, THRESHOLD, SHARE, LEAST = 64, 45, 0.25, 25
 #: The share of points that a query's first windows hold.
 FIRST = 0.6
 
