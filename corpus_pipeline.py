@@ -25,12 +25,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; those without words are never taken."""
-    return mixing.mix(docs).drop("mix_shard", "mix_order")
+    """Documents as often as the mix takes them, by shard and in shuffled order; those without words are never taken."""
+    return mixing.in_order(mixing.mix(docs)).drop("mix_shard", "mix_order")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all sequences."""
+    """The pieces of all sequences; files are read in any order, rows in theirs."""
     return packing.pack(docs)
 
 

@@ -121,9 +121,14 @@ def mix(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     return copies.select("row.*", "mix_shard", F.md5(F.concat_ws("|", F.lit(seed), "mix_shard", F.col("row.doc_id").cast("string"), "copy")).alias("mix_order"))
 
 
+def in_order(mixed: DataFrame) -> DataFrame:
+    """mix()'s rows dealt by shard and place, in shuffled order within every partition; a shard may span several."""
+    return mixed.repartition("mix_shard", F.substring("mix_order", 1, 2)).sortWithinPartitions("mix_shard", "mix_order")
+
+
 def write_mix(mixed: DataFrame, path: str) -> None:
     """One folder per shard, rows in shuffled order; a shard may span several files, each sorted."""
-    mixed.repartition("mix_shard", F.substring("mix_order", 1, 2)).sortWithinPartitions("mix_shard", "mix_order").drop("mix_order").write.partitionBy("mix_shard").parquet(path)
+    in_order(mixed).drop("mix_order").write.partitionBy("mix_shard").parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from docloom.llm import chat, gbt, licenses, packing, toxicity
+from docloom.llm import chat, gbt, licenses, mixing, packing, toxicity
 from docloom.llm.queries import oracle_sql, queries
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -144,5 +144,25 @@ def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near dedup", "mixing", "packing"]
 
 
+def test_pipeline_mixes_order(spark, tmp_path):
+    """Sources and the copies of a document are spread over the packed sequences, by shard and in the mix's order."""
+    rows = [(i, f"text number {i} of many words", "en", f"s{i // 400}", 0) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs, None)
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    packed = corpus_pipeline.pack_sequences(spark, spark.read.parquet(str(tmp_path / "mixed")), None).where("start = 0").orderBy("sequence_id", "offset")
+    order = [r.doc_id for r in packed.collect()]
+    places = {(r.doc_id, r.mix_shard): r.mix_order for r in mixing.mix(docs).collect()}
+    assert len(order) > len(set(order)) > 800
+    sources = [i // 400 for i in order]
+    share = [sources.count(s) / len(sources) for s in range(4)]
+    same = sum(a == b for a, b in zip(sources, sources[1:])) / (len(sources) - 1)
+    assert same < sum(x * x for x in share) + 0.08
+    assert sum(a == b for a, b in zip(order, order[1:])) < len(order) / 100
+    # most neighbours share a shard and follow each other in it
+    follows = [any((a, s) in places and (b, s) in places and places[a, s] <= places[b, s] for s in range(8)) for a, b in zip(order, order[1:])]
+    assert sum(follows) > 0.9 * len(follows)
+
+
 def test_all_registered():
     assert [sum(n.startswith(f"op{k}_") for n in queries()) for k in range(1, 11)] == [1] * 10 and set(oracle_sql()) <= set(queries())
