@@ -190,14 +190,25 @@ stages("lookup_top_per_key", "SELECT c_custkey, o_orderkey FROM (SELECT c_custke
        {"$lookup": {"from": "orders", "let": {"c": "$c_custkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$o_custkey", "$$c"]}}}, {"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$limit": 2}], "as": "best"}}, {"$unwind": "$best"}, {"$project": {"c_custkey": 1, "o_orderkey": "$best.o_orderkey"}}, tables=("orders",))
 
 
+def ancestors(events):
+    """Every event with the number of events above it in the tree of halved ids, and the depth of the farthest."""
+    tree = events.select(F.col("event_id").alias("node"), F.expr("nullif(event_id div 2, event_id)").alias("parent"))
+    spec = {"from": "tree", "startWith": "$parent", "connectFromField": "parent", "connectToField": "node", "as": "above", "depthField": "depth"}
+    out = aggregate(tree, [{"$graphLookup": spec}, {"$project": {"node": 1, "n": {"$size": "$above"}, "depths": "$above.depth"}}], {"tree": tree}, ["node"])
+    return out.select("node", "n", F.array_max("depths").alias("deepest"))
+
+
 @query("""WITH RECURSIVE t AS (SELECT event_id AS node, nullif(event_id // 2, event_id) AS parent FROM events WHERE event_id < 1000),
 r(start, node, depth) AS (SELECT s.node, p.node, 0 FROM t s JOIN t p ON p.node = s.parent UNION ALL SELECT r.start, p.node, depth + 1 FROM r JOIN t c ON c.node = r.node JOIN t p ON p.node = c.parent)
 SELECT t.node, count(r.node) AS n, max(depth)::BIGINT AS deepest FROM t LEFT JOIN r ON r.start = t.node GROUP BY 1""")
 def graph_lookup(spark, sf_dir):
-    tree = read(spark, sf_dir, "events").where("event_id < 1000").select(F.col("event_id").alias("node"), F.expr("nullif(event_id div 2, event_id)").alias("parent"))
-    spec = {"from": "tree", "startWith": "$parent", "connectFromField": "parent", "connectToField": "node", "as": "above", "depthField": "depth"}
-    out = aggregate(tree, [{"$graphLookup": spec}, {"$project": {"node": 1, "n": {"$size": "$above"}, "depths": "$above.depth"}}], {"tree": tree}, ["node"])
-    return out.select("node", "n", F.array_max("depths").alias("deepest"))
+    return ancestors(read(spark, sf_dir, "events").where("event_id < 1000"))
+
+
+@query(None)
+def graph_lookup_all(spark, sf_dir):
+    """All events; graph_lookup and its SQL read the first 1000 ids only."""
+    return ancestors(read(spark, sf_dir, "events"))
 
 
 # ---- text -------------------------------------------------------------------------------------------------------

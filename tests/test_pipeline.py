@@ -4,6 +4,7 @@ import pytest
 from docloom.operators.buckets import edges
 from docloom.plans.expressions import ExpressionError
 from docloom.plans.pipeline import PipelineError, aggregate
+from docloom.queries import QUERIES
 
 STAFF = [(1, "Alice", 25, "NYC", 50000, "Engineering"), (2, "Bob", 30, "LA", 60000, "Sales"), (3, "Charlie", 35, "NYC", 70000, "Engineering"), (4, "Diana", 28, "LA", 55000, "Marketing"), (5, "Eve", 32, "NYC", 65000, "Sales"), (6, "Frank", 40, "Chicago", 80000, "Engineering")]
 
@@ -71,6 +72,20 @@ def test_lookup_and_graph(spark):
     assert {len(r["chain"]) for r in rows(aggregate(ring, [{"$graphLookup": loop}], {"ring": ring}))} == {3}
 
 
+def test_graph_lookup_all(spark):
+    """Every event of a table of more than 1000, against walks up the tree one by one."""
+    sf = "/root/testdata/sf0.01"
+    ids = {r.event_id for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()}
+    want = {}
+    for i in ids:
+        n, node = 0, i
+        while node != node // 2 and node // 2 in ids:
+            n, node = n + 1, node // 2
+        want[i] = (n, n - 1 if n else None)
+    got = [(r.node, (r.n, r.deepest)) for r in QUERIES["graph_lookup_all"](spark, sf).collect()]
+    assert len(got) == len(want) > 1000 and dict(got) == want
+
+
 @pytest.mark.parametrize(
     "expr, value",
     [
