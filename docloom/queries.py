@@ -171,6 +171,15 @@ def conversation_docs(spark, sf_dir, df):
 stages("unwind", "SELECT conv_id, turn, role FROM conversations WHERE conv_id % 3 <> 0 AND conv_id % 5 <> 0", "conversations", {"$unwind": "$turns"}, {"$project": {"conv_id": 1, "turn": "$turns.turn", "role": "$turns.role"}}, view=conversation_docs)
 stages("unwind_preserve", "SELECT conv_id, turn, role FROM conversations WHERE conv_id % 3 <> 0 AND conv_id % 5 <> 0 UNION ALL SELECT DISTINCT conv_id, NULL, NULL FROM conversations WHERE conv_id % 3 = 0 OR conv_id % 5 = 0", "conversations", {"$unwind": {"path": "$turns", "preserveNullAndEmptyArrays": True}}, {"$project": {"conv_id": 1, "turn": "$turns.turn", "role": "$turns.role"}}, view=conversation_docs)
 
+
+def whole_conversations(spark, sf_dir, df):
+    """A row per conversation, all with their turns in an array."""
+    return df.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
+
+
+stages("unwind_all", "SELECT conv_id, turn, role FROM conversations", "conversations", {"$unwind": "$turns"}, {"$project": {"conv_id": 1, "turn": "$turns.turn", "role": "$turns.role"}}, view=whole_conversations)
+stages("unwind_preserve_all", "SELECT conv_id, turn, role FROM conversations", "conversations", {"$unwind": {"path": "$turns", "preserveNullAndEmptyArrays": True}}, {"$project": {"conv_id": 1, "turn": "$turns.turn", "role": "$turns.role"}}, view=whole_conversations)
+
 # ---- joins ------------------------------------------------------------------------------------------------------
 
 CUSTOMER_ORDERS = {"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "orders"}}

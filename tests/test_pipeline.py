@@ -86,6 +86,17 @@ def test_graph_lookup_all(spark):
     assert len(got) == len(want) > 1000 and dict(got) == want
 
 
+def test_unwind_all(spark):
+    """All turns of the table come out; null and empty arrays by a fixture."""
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/conversations.parquet").count()
+    assert all(QUERIES[q](spark, sf).count() == n > 0 for q in ("unwind_all", "unwind_preserve_all"))
+    docs = spark.createDataFrame([(1, [3, 4]), (2, None), (3, [])], "k bigint, turns array<bigint>")
+    assert sorted((r["k"], r["turns"]) for r in rows(aggregate(docs, [{"$unwind": "$turns"}], order=["k"]))) == [(1, 3), (1, 4)]
+    kept = rows(aggregate(docs, [{"$unwind": {"path": "$turns", "preserveNullAndEmptyArrays": True}}], order=["k"]))
+    assert sorted((r["k"], r["turns"] or 0) for r in kept) == [(1, 3), (1, 4), (2, 0), (3, 0)]
+
+
 @pytest.mark.parametrize(
     "expr, value",
     [
