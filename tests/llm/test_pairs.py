@@ -1,12 +1,14 @@
 """Near-dedup, line dedup, searches and the mix against brute force."""
 
+import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
-from docloom.llm import linedup, lsh, minhash, mixing, mtree
+from docloom.llm import grid, linedup, lsh, minhash, mixing, mtree
 from docloom.llm.common import Scratch
 from pyspark.sql import functions as F
 
@@ -171,29 +173,59 @@ def vectors(spark, n, dim, seed=1, extra=()):
 HOSTILE = [(1000, None), (2000, []), (3000, [float("nan")] * 16), (3500, [None] + [1.0] * 15), (4000, [float("inf")] * 16), (5000, [0.0] * 16), (6000, [1.0, 2.0])]
 
 
+def brute_top(rows, every, k, score, skip=lambda e: False):
+    """Answers of every row with a fitting id, as a multiset: rows are told apart by their place."""
+    rows = [(i, e) for i, e in rows if e and None not in e and np.isfinite(np.array(e, float)).all() and not skip(e)]
+    out = []
+    for a, (q, e) in enumerate(rows):
+        if q % every == 0:
+            best = sorted((-score(e, y), i) for b, (i, y) in enumerate(rows) if b != a and len(y) == len(e))[:k]
+            out += [(q, j + 1, i, -s) for j, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def whole_product(a, b):
+    return min(max(sum(math.floor(Fraction(x) * 256) * math.floor(Fraction(y) * 256) for x, y in zip(a, b)), -(2**63)), 2**63 - 1)
+
+
+def answers(df):
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in df.collect())
+
+
+REPEATED = [(7001, [0.25] * 16), (7002, [0.25] * 16), (7002, [0.25] * 16), (7050, [0.25] * 16), (7100, [0.5] * 16), (7100, [0.5] * 16), (7100, [0.5] * 16), (7100, [0.125] * 16)]
+
+
 def test_mtree(spark):
-    x, df = vectors(spark, 900, 16, extra=[*HOSTILE, (7001, [0.25] * 16), (7002, [0.25] * 16), (7002, [0.25] * 16), (7050, [0.25] * 16)])
-    plain = {r.vec_id: [] for r in df.collect()}
-    for r in df.collect():
-        plain[r.vec_id].append(r.embedding)
-    rows = [(i, np.floor(256 * np.array(e, float))) for i, es in plain.items() for e in es if e and None not in e and np.isfinite(np.array(e, float)).all()]
-    want = {}
-    for q, e in rows:
-        if q % 50 == 0:
-            best = sorted((-int(e @ y), i) for i, y in rows if i != q and len(y) == len(e))[:5]
-            want[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    got = {}
-    for r in mtree.top(df).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    assert got == {q: w for q, w in want.items() if w}
+    """Ties, repeated rows and repeated ids with other vectors, vectors that take no part, vectors of another length."""
+    _, df = vectors(spark, 900, 16, extra=[*HOSTILE, *REPEATED])
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    assert answers(mtree.top(df)) == answers(mtree.top(df.repartition(5))) == brute_top(rows, 50, 5, whole_product)
     assert mtree.top(df.where("false")).count() == 0
 
 
+def test_mtree_several_blocks(spark):
+    _, df = vectors(spark, 700, 8)
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    build = lambda ids, n, x: mtree.build(ids, n, mtree.whole(x, 256), 64)
+    got = grid.search(df, 5, 10, build, lambda t, ids, n, x: mtree.look(t, ids, mtree.whole(x, 256), 5), False, "long", per_block=90, per_part=7, per_lane=3)
+    assert answers(got) == brute_top(rows, 10, 5, whole_product)
+
+
+def test_mtree_large_components(spark):
+    """No finite vector is left out: components of millions, products near the limits of a long and beyond them."""
+    large = [[2e6, 1.0], [-2e6, 1.0], [1e7, 1e7], [1.1e7, -1.1e7], [3e6, 5.5], [1e300, -1e300], [-1.7e308, 1.7e308], [5e-324, 1.0], [1.0, 0.5]]
+    rows = [(50 * i if i % 2 else i, v) for i, v in enumerate(large * 2)]
+    for some in (rows, [r for r in rows if max(map(abs, r[1])) < 2.5e6], [r for r in rows if max(map(abs, r[1])) < 1e8]):
+        df = spark.createDataFrame(some, "vec_id long, embedding array<double>")
+        assert answers(mtree.top(df)) == brute_top(some, 50, 5, whole_product)
+
+
 def test_mtree_skips(spark):
     """On points in clusters the bounds save most inner products."""
     rng = np.random.default_rng(0)
     x = np.floor(256 * (np.repeat(rng.normal(size=(40, 8)), 100, 0) + rng.normal(size=(4000, 8)) * 0.02))
-    tree = mtree.build(np.arange(4000), x, leaf=64)
+    tree = mtree.build(np.arange(4000), np.ones(4000, int), x, leaf=64)
+    tree["x"] = tree["x"].astype(float)
     work = [mtree.search_one(tree, i, x[i], 5)[2] for i in range(0, 4000, 50)]
     assert np.mean(work) < 1000
 
@@ -211,6 +243,12 @@ def test_collision_counting(spark):
         assert len(got[q]) == 20 and all(abs(v - s[i]) < 1e-12 for i, v in got[q])
         hit += len({i for i, _ in got[q]} & set(np.argsort(-s)[:20].tolist()))
     assert set(got) == set(range(0, 3000, 20)) and hit / (150 * 20) >= 0.9
+    small = df.where("vec_id < 400 or vec_id >= 9000").unionByName(spark.createDataFrame([(*r, "x") for r in [(8000, [0.125] * 64), (8000, [0.125] * 64), (8000, [0.25] * 64), (8001, [0.25] * 64), (8002, [0.25] * 64)]], df.schema))
+    exact = [(q, j, i, round(v, 9)) for q, j, i, v in answers(lsh.nearest(small))]
+    rows = [(r.vec_id, r.embedding) for r in small.collect()]
+    # the windows of so few points hold everything: repeated rows and ties come out as by brute force
+    want = [(q, j, i, round(v, 9)) for q, j, i, v in brute_top(rows, 20, 20, lambda a, b: float(np.dot(a, b)), lambda e: not any(e))]
+    assert exact == want == [(q, j, i, round(v, 9)) for q, j, i, v in answers(lsh.nearest(small.repartition(7)))]
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.1])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r.vec_id) for r in lsh.nearest(few).orderBy("rank").collect()] == [(1, 2), (2, 1)]
     assert lsh.nearest(df.where("false")).count() == 0
@@ -224,13 +262,27 @@ def test_collision_recall(n):
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         ask = np.arange(0, n, n // 50)[:50]
         got = {}
-        for q, i, _ in zip(*lsh.look(lsh.build(np.arange(n), x), ask, x[ask], 20)):
-            got.setdefault(q, set()).add(i)
+        index = lsh.build(np.arange(n), np.ones(n, int), x)
+        for number, i, _ in zip(*lsh.look(index, ask, np.ones(50, int), x[ask], 20)):
+            got.setdefault(int(ask[number]), set()).add(i)
         best = x[ask] @ x.T
         best[np.arange(50), ask] = -9
         assert sum(len(got[q] & set(b.tolist())) for q, b in zip(ask.tolist(), np.argsort(-best, axis=1)[:, :20])) / 1000 >= 0.96
 
 
+def test_collision_recall_several_blocks(spark):
+    """Through the whole grid: six blocks, several parts and lanes."""
+    x, df = vectors(spark, 6000, 64, seed=4)
+    got = {}
+    look = lambda index, ids, n, y: lsh.look(index, ids, n, y, 20)
+    for r in grid.search(df, 20, 20, lsh.build, look, True, "double", per_block=1000, per_part=64, per_lane=2).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    best = x[::20] @ x.T
+    best[np.arange(300), np.arange(0, 6000, 20)] = -9
+    hit = sum(len(got[20 * q] & set(b.tolist())) for q, b in enumerate(np.argsort(-best, axis=1)[:, :20]))
+    assert all(len(v) == 20 for v in got.values()) and hit / 6000 >= 0.95
+
+
 def test_mix(spark):
     rows = corpus(9) + [(900 + i, "a b c " * 40, "en", "zz\U0001f600", 0) for i in range(5)]
     df = spark.createDataFrame(rows, DOCS).withColumn("copies", F.lit("clash")).withColumn("row", F.lit("clash"))
