@@ -19,34 +19,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary folder will do in
+    local mode only; on a cluster every executor would write to a disk of its own, so that raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder. They cut lineage and survive lost executors."""
+    """Tables written to the shared folder. They cut lineage and survive lost executors.
+
+    Those that a result still reads stay until the driver's JVM ends, which deletes them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.marked = spark, f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}", False
+
+    def at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
         path = f"{self.root}/{tag}"
         df.write.parquet(path)
+        if not self.marked:
+            fs, root = self.at(self.root)
+            self.marked = fs.deleteOnExit(root)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tags: str) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark._jvm
         for tag in tags:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{tag}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            fs, path = self.at(f"{self.root}/{tag}")
+            fs.delete(path, True)
 
     def tidy(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of plans that have ended."""
+        """Let Spark's cleaner delete the shuffle files of plans that have ended: it acts when the driver collects its garbage,
+        which a driver with little to do may put off while disks fill. Costs the driver a fraction of a second."""
         import gc
 
         gc.collect()

@@ -23,6 +23,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,8 @@ from .common import Scratch, small_batches
 
 BANDS, ROWS = 32, 4
 SIGNATURE = BANDS * ROWS
-#: Matching 8-bit minima, of 128, below which a pair is not compared: 4.5 standard deviations under those of 0.8.
+#: Matching 8-bit minima, of 128, below which a pair is not compared: 4.5 standard deviations under those of 0.8. A pair of
+#: that similarity is passed over with a chance of 8 in a million (0 as the parameter ``enough`` compares all).
 ENOUGH = 82
 
 
@@ -143,11 +145,11 @@ def agreeing(a: bytes, b: bytes) -> int:
     return int(np.count_nonzero(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)))
 
 
-def verified(batches, percent: int):
+def verified(batches, percent: int, enough: int):
     """u, v with minima and sets of both -> the pairs that are links."""
     for batch in batches:
         cols = [batch.column(c).to_pylist() for c in ("u", "v", "minima_u", "minima_v", "members_u", "members_v")]
-        found = [(u, v) for u, v, p, q, x, y in zip(*cols) if agreeing(p, q) >= ENOUGH and similar(x, y, percent)]
+        found = [(u, v) for u, v, p, q, x, y in zip(*cols) if agreeing(p, q) >= enough and similar(x, y, percent)]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
@@ -182,7 +184,7 @@ def group_slices(t: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
     yield from zip([0, *cuts.tolist()], [*cuts.tolist(), t.num_rows])
 
 
-def passing_pairs(minima: np.ndarray, bands: np.ndarray, key: int, comp: np.ndarray, own: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def passing_pairs(minima: np.ndarray, bands: np.ndarray, key: int, comp: np.ndarray, own: np.ndarray, cross: bool, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (rows of a bucket's block) of different components whose minima agree and whose first common band this is."""
     at = np.flatnonzero(bands[0] == key)[0]
     left = np.flatnonzero(own == 0) if cross else np.arange(len(comp))
@@ -193,7 +195,7 @@ def passing_pairs(minima: np.ndarray, bands: np.ndarray, key: int, comp: np.ndar
         if not len(others):
             continue
         same = (minima[others] == minima[i]).sum(1)
-        ok = same >= ENOUGH
+        ok = same >= enough
         others, same = others[ok], same[ok]
         if at and len(others):
             first = ~(bands[others, :at] == bands[i, :at]).any(1)
@@ -217,7 +219,7 @@ def block_arrays(t: pa.Table, i: int, j: int):
     return part, minima, bands, comp, (mine == b).astype(int), a != b
 
 
-def hopeful(batches):
+def hopeful(batches, enough: int):
     """Blocks of buckets -> (key, part_a, part_b, cid): the classes that are in some pair that passes."""
     for t in whole_groups(batches, GROUP):
         rows: list[tuple[int, int, int, int]] = []
@@ -226,20 +228,20 @@ def hopeful(batches):
             if (comp == comp[0]).all():
                 continue
             key = part.column("key")[0].as_py()
-            x, y, _ = passing_pairs(minima, bands, key, comp, own, cross)
+            x, y, _ = passing_pairs(minima, bands, key, comp, own, cross, enough)
             cid = part.column("cid").to_numpy()
             a, b = part.column("part_a")[0].as_py(), part.column("part_b")[0].as_py()
             rows += [(key, a, b, c) for c in np.unique(cid[np.concatenate((x, y))]).tolist()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], [*GROUP, "cid"])
 
 
-def joining(batches, percent: int):
+def joining(batches, percent: int, enough: int):
     """Blocks of buckets with sets -> links that join components, the most alike first."""
     for t in whole_groups(batches, GROUP):
         u, v = [], []
         for i, j in group_slices(t, GROUP):
             part, minima, bands, comp, own, cross = block_arrays(t, i, j)
-            x, y, same = passing_pairs(minima, bands, part.column("key")[0].as_py(), comp, own, cross)
+            x, y, same = passing_pairs(minima, bands, part.column("key")[0].as_py(), comp, own, cross, enough)
             cid, sets = part.column("cid").to_numpy(), part.column("members").to_pylist()
             parent = {c: c for c in comp.tolist()}
 
@@ -257,13 +259,13 @@ def joining(batches, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, tag: str, most: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """Alternating large-star and small-star, until every node hangs on one that hangs on none.
 
     edges: u, v. Returns node, label (the smallest node of its component).
     """
     now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{tag}-0")
-    for k in range(1, most):
+    for k in itertools.count(1):
         ends = now.select(F.col("u").alias("node"), F.lit(1).alias("hangs")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("hangs")))
         if not ends.groupBy("node").agg(F.sum("hangs").alias("n"), F.min("hangs").alias("low")).where("n > 1 or n = 1 and low = 0").count():
             break
@@ -274,8 +276,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str, most: int
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         now = scratch.save(small, f"{tag}-{k}")
         scratch.drop(f"{tag}-{k - 1}")
-    else:
-        raise RuntimeError("components did not settle")
     # stars of (node, smallest): the smallest names itself
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
@@ -285,7 +285,7 @@ def stars(labels: DataFrame) -> DataFrame:
     return labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
 
 
-def components(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 512) -> DataFrame:
+def components(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 512, enough: int = ENOUGH) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -315,7 +315,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
         best = pairs.groupBy("cid").agg(F.max(F.struct("n", F.xxhash64("leader").alias("draw"), "leader")).alias("best")).select(F.col("cid").alias("u"), F.col("best.leader").alias("v"))
         compared = best.join(side("u"), "u").join(side("v"), "v").select("u", "v", "minima_u", "minima_v", "members_u", "members_v")
         with small_batches(spark, 500):
-            found = scratch.save(compared.mapInArrow(lambda it: verified(it, percent), "u long, v long"), f"links{k}")
+            found = scratch.save(compared.mapInArrow(lambda it: verified(it, percent, enough), "u long, v long"), f"links{k}")
         scratch.tidy()
         links = found if labels is None else found.unionByName(stars(labels))
         labels = connected_components(links, scratch, f"stars{k}")
@@ -332,11 +332,11 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
     sketches = classes.select("cid", "bands", "minima")
     dealt = left.join(sketches, "cid").repartition("key", "part_a", "part_b").sortWithinPartitions(*GROUP, "cid")
     with small_batches(spark, 2000):
-        hopes = scratch.save(dealt.mapInArrow(hopeful, "key long, part_a long, part_b long, cid long"), "hopes")
+        hopes = scratch.save(dealt.mapInArrow(lambda it: hopeful(it, enough), "key long, part_a long, part_b long, cid long"), "hopes")
     scratch.tidy()
     again = left.join(hopes, [*GROUP, "cid"], "left_semi").join(sketches, "cid").join(sets.select("cid", "members"), "cid").repartition("key", "part_a", "part_b").sortWithinPartitions(*GROUP, "cid")
     with small_batches(spark, 500):
-        found = scratch.save(again.mapInArrow(lambda it: joining(it, percent), "u long, v long"), "links2")
+        found = scratch.save(again.mapInArrow(lambda it: joining(it, percent, enough), "u long, v long"), "links2")
     scratch.tidy()
     labels = connected_components(found.unionByName(stars(labels)), scratch, "stars2")
     named = classes.join(labels, classes.cid == labels.node, "left").select("h1", "h2", F.coalesce("label", "cid").alias("component_id"))

@@ -103,7 +103,7 @@ class Words(dict):
 
 
 def tokenized(batches, name: str, end: int):
-    """doc_id, part, text -> doc_id, part, before (tokens in the partition before it), n, ids (16 bits each where they fit)."""
+    """doc_id, part, text -> doc_id, part, before (tokens in the partition before it), n, ids (little-endian, 32 bits each)."""
     words, before = Words(name), {}
     closing = np.array([end], "<u4").tobytes()
     for batch in batches:

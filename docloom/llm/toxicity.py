@@ -156,7 +156,7 @@ def classify(docs: DataFrame, labels: DataFrame, mod: int = 5, out: int = 0, **o
 
 
 def reject(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without those that are predicted toxic. The verdict goes back to its row by doc_id and a hash of the text."""
+    """docs without those that are predicted toxic. Whole rows go through the classifier, so verdicts need no join."""
     model = fit(docs, labels, remainder(F.col("doc_id"), 5) != 0, **options)
     names = docs.columns
     schema = docs.select(F.lit(None).cast("binary").alias("_bytes"), F.struct(*names).alias("_row")).schema
