@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import xxhash
 from docloom.llm import grid, linedup, lsh, minhash, mixing, mtree
 from docloom.llm.common import Scratch
 from pyspark.sql import functions as F
@@ -76,11 +77,48 @@ def test_stars(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 103: 100, 150: 150, 200: 150}
 
 
+def plain_pieces(text, every=4, longest=16, long_words=50):
+    """Chunks and windows by their definitions, written anew: every run is looked at on its own."""
+    lines = text.split(b"\n")
+    words = [len(x.split()) for x in lines]
+    full = [i for i, n in enumerate(words) if n]
+    runs = set()
+    for i in full:
+        onward = [j for j in full if j >= i and sum(words[i : j + 1]) >= long_words]
+        backward = [j for j in full if j <= i and sum(words[j : i + 1]) >= long_words]
+        runs |= {(i, onward[0] + 1)} if onward else set()
+        runs |= {(backward[-1], i + 1)} if backward else set()
+    runs |= {(i, j + 1) for i, j in zip(full, full[1:]) if words[i] >= long_words and j - i > 1}
+    ends, since, last = [], 0, 0
+    for i, line in enumerate(lines):
+        if words[i] >= long_words:
+            ends += [i, i + 1]
+            since, last = i + 1, 0
+            continue
+        h = xxhash.xxh3_64_intdigest(line)
+        roll = (last * 0x9E3779B97F4A7C15 + h) * 0xD6E8FEB86659FD93 % 2**64
+        last = h
+        if (roll >> 32) % every == 0 or i + 1 - since >= longest:
+            ends.append(i + 1)
+            since = i + 1
+    ends = sorted({0, len(lines), *ends})
+    for x, y in zip(ends, ends[1:]):
+        if sum(words[x:y]) >= long_words or sum(n > 0 for n in words[x:y]) > 1:
+            runs.add((x, y))
+    out = []
+    for x, y in sorted(runs):
+        piece = b"\n".join(lines[x:y])
+        first = next((e for b, e, p in out if p == piece), None)
+        if first is None or x >= first:
+            out.append((x, y, piece))
+    return out
+
+
 def brute_lines(rows, options=(4, 16, 50)):
     seen, out = set(), {}
     for i, t in sorted(rows):
         lines, gone = (t or "").split("\n"), set()
-        for begin, end, piece in linedup.cut((t or "").encode(), *options):
+        for begin, end, piece in plain_pieces((t or "").encode(), *options):
             if piece in seen:
                 gone |= set(range(begin, end))
             seen.add(piece)
@@ -88,6 +126,17 @@ def brute_lines(rows, options=(4, 16, 50)):
     return out
 
 
+def test_line_cutter():
+    """The product's cutter against the plain one, on texts of every shape."""
+    rng = random.Random(8)
+    for k in range(400):
+        line = lambda: rng.choice(["", " ", "a", "b c", "x y z", " ".join(rng.choice(WORDS[:9]) for _ in range(rng.choice([3, 20, 49, 50, 80])))])
+        text = "\n".join(line() for _ in range(rng.randint(1, 40))).encode()
+        options = rng.choice([(4, 16, 50), (1, 3, 10), (2, 2, 4)])
+        got = list(linedup.cut(text, *options))
+        assert got == plain_pieces(text, *options) or len(text.split(b"\n")) == 1 and not got and len(text.split()) < options[2]
+
+
 def test_line_chunks(spark):
     rng = random.Random(5)
     lines = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(2, 9))) for _ in range(300)]
@@ -283,16 +332,12 @@ def test_collision_recall_several_blocks(spark):
     assert all(len(v) == 20 for v in got.values()) and hit / 6000 >= 0.95
 
 
-def test_mix(spark):
-    rows = corpus(9) + [(900 + i, "a b c " * 40, "en", "zz\U0001f600", 0) for i in range(5)]
-    df = spark.createDataFrame(rows, DOCS).withColumn("copies", F.lit("clash")).withColumn("row", F.lit("clash"))
-    got = mixing.plan_mix(df).collect()
-    sizes = {i: len(re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t, *_ in rows}
-    assert {r.doc_id: r.size for r in got} == sizes
-    source, by = {i: s for i, _, _, s, _ in rows}, Counter()
+def brute_targets(sizes, source):
+    """(words, target) of each source, by capping one round of sources after another."""
+    by = Counter()
     for i, n in sizes.items():
         by[source[i]] += n
-    names = sorted((s for s in by if s is not None)) + [None]
+    names = sorted(s for s in by if s is not None) + [None] * (None in by)
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
     budget, capped = 1.5 * sum(by.values()), set()
     while True:
@@ -300,8 +345,18 @@ def test_mix(spark):
         target = {s: 2 * by[s] if s in capped else rest * weight[s] / sum(weight[t] for t in by if t not in capped) for s in by}
         over = {s for s in by if target[s] > 2 * by[s] + 1e-9}
         if not over:
-            break
+            return by, target
         capped |= over
+
+
+def test_mix(spark):
+    rows = corpus(9) + [(900 + i, "a b c " * 40, "en", "zz\U0001f600", 0) for i in range(5)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("copies", F.lit("clash")).withColumn("row", F.lit("clash"))
+    got = mixing.plan_mix(df).collect()
+    sizes = {i: len(re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t, *_ in rows}
+    assert {r.doc_id: r.size for r in got} == sizes
+    source = {i: s for i, _, _, s, _ in rows}
+    by, target = brute_targets(sizes, source)
     taken = Counter()
     for r in got:
         assert r.source_size == by[source[r.doc_id]] and abs(r.target - target[source[r.doc_id]]) < 1e-6
@@ -316,6 +371,22 @@ def test_mix(spark):
     assert mixing.plan_mix(df.where("false")).count() == 0
 
 
+def test_mix_cases(spark):
+    """Null and repeated ids, repeated rows, a very long text, no texts; all from any split of the files."""
+    rows = [(None, f"w{i} x y", "en", "a", 0) for i in range(40)] + [(None, "same words here", "en", "a", 0)] * 5 + [(7, "b c", "en", "b", 0)] * 30 + [(7, "another text", "en", "b", 0), (8, None, "en", None, 0), (9, "", "en", "c", 0), (10, "long " * 200_000, "en", "d", 0), (11, "last one", "en", None, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing.plan_mix(df).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len((t or "").split())) for i, t, *_ in rows)
+    assert all(r.taken <= 2 * r.size and (r.size or not r.copies) for r in got)
+    for target in {r.target for r in got}:
+        mine = [r for r in got if r.target == target]
+        assert abs(sum(r.taken for r in mine) - target) <= max(r.size for r in mine)
+    again = mixing.plan_mix(df.repartition(9)).collect()
+    assert Counter(map(str, got)) == Counter(map(str, again))
+    assert mixing.mix(df).count() == sum(r.copies for r in got)
+    assert mixing.mix(df.where("false")).count() == mixing.plan_mix(df.where("text is null")).where("copies > 0").count() == 0
+
+
 def test_mix_files(spark, tmp_path):
     df = spark.createDataFrame(corpus(2), DOCS)
     mixing.write_mix(mixing.mix(df), str(tmp_path / "mix"))
@@ -325,6 +396,6 @@ def test_mix_files(spark, tmp_path):
 
 def test_tree_is_exact(spark):
     """Every node of the tree sends half its blocks left, so shards hold equal numbers of blocks."""
-    items = spark.range(1000).selectExpr("concat('s', id % 3) AS source_key", "cast(id AS int) AS block", "1 AS copy")
+    items = spark.range(1000).selectExpr("0 AS group", "concat('s', id % 3) AS source_key", "cast(id AS int) AS block", "1 AS copy")
     n = Counter(r.shard for r in mixing.split_tree(items, 3, "x").collect())
     assert len(n) == 8 and set(n.values()) == {125}

@@ -1,12 +1,16 @@
 """Chat formatting, licence scans, packing, classifiers and the pipeline."""
 
+import math
+import random
 import re
 import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from docloom.llm import chat, gbt, licenses, mixing, packing, toxicity
 from docloom.llm.queries import oracle_sql, queries
 from pyspark.sql import functions as F
@@ -154,6 +158,135 @@ def test_held_out(spark, name, label, mod, out, least):
     assert np.mean([r.predicted == r[label] for r in got]) >= least
 
 
+def plain_places(text):
+    """Places of a text's distinct features, from Python's integers."""
+    words = [w.strip(b".,;:!?\"'()[]{}|#$%&*") or w for w in (text or "").encode().lower().split()]
+    one, two, top = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 2**64
+    h = [xxhash.xxh3_64_intdigest(w) for w in words]
+    found = {x * one % top >> 44 for x in [*h, *(xxhash.xxh3_64_intdigest(w[:4] + b"~") for w in words)]}
+    found |= {(a * one + b) % top * two % top >> 44 for a, b in zip(h, h[1:])}
+    return found | {(a * two + b) % top * one % top >> 44 for a, b in zip(h, h[2:])}
+
+
+def plain_ftrl(rows, epochs=3, alpha=0.3, beta=1.0, l1=1.5, l2=1.0):
+    """FTRL-proximal one coordinate at a time; returns the function that scores a set of places."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    score = lambda places: 1 / (1 + math.exp(-sum(weight(i) for i in [*sorted(places), "bias"])))
+    for _ in range(epochs):
+        for label, places in rows:
+            g = score(places) - label
+            old = {i: weight(i) for i in [*places, "bias"]}
+            for i, w in old.items():
+                was = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / alpha * w
+                n[i] = was + g * g
+    return score
+
+
+def small_corpus(spark, k=300):
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in ("mel", "tor", "vin", "zor", "quab", "fli") for b in ("a", "ek", "ist", "und", "or", "ely", "im")]
+    rows = []
+    for i in range(k):
+        bad = rng.random() < 0.4
+        body = [rng.choice(words) for _ in range(rng.randint(0, 60))] + (["grubblik", rng.choice(words), "snark!!"] if bad else [])
+        rng.shuffle(body)
+        rows.append((i, rng.choice([" ", "\n"]).join(body) + rng.choice([".", "", " 12 | 7"]), int(bad)))
+    rows += [(k, None, 0), (k + 1, "", 1), (k + 2, rows[0][1], rows[0][2]), (k + 3, rows[1][1], 1 - rows[1][2])]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[5][:2]], "doc_id long, text string")
+    return rows, docs, spark.createDataFrame([(r[0], r[2], r[2]) for r in rows], "doc_id long, toxic int, quality int")
+
+
+def learning_order(docs, label, mod, out):
+    """Rows that may be learnt from, in the order in which the operators draw them."""
+    drawn = docs.select("doc_id", "text", F.xxhash64("doc_id", F.lit(label)).alias("draw")).collect()
+    return sorted((r.draw, r.doc_id, r.text) for r in drawn if zlib.crc32(str(r.doc_id).encode()) % mod != out)
+
+
+def test_toxicity_against_plain(spark):
+    rows, docs, labels = small_corpus(spark)
+    truth = {i: y for i, _, y in rows}
+    model = plain_ftrl([(truth[i], plain_places(t)) for _, i, t in learning_order(docs, "toxic", 5, 0)])
+    got = toxicity.classify(docs, labels).collect()
+    assert len(got) == len(rows) + 1
+    text = {i: t for i, t, _ in rows}
+    assert all(abs(r.score - model(plain_places(text[r.doc_id]))) < 1e-5 for r in got)
+    assert len({round(r.score, 3) for r in got}) > 50
+
+
+def plain_boost(x, y, trees, depth=4, bins=64, rate=0.12):
+    """Boosted trees grown node by node: every edge of every feature is tried on the rows of the node. Returns the scores of x."""
+    edges = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for f in range(x.shape[1])]
+    mean = min(max(y.mean(), 1e-4), 1 - 1e-4)
+    raw = np.full(len(y), math.log(mean / (1 - mean)))
+
+    def grow(rows, level):
+        if level == depth:
+            raw[rows] -= rate * g[rows].sum() / (h[rows].sum() + 1)
+            return
+        best, split = 1e-3, None
+        whole = g[rows].sum() ** 2 / (h[rows].sum() + 1)
+        for f in range(x.shape[1]):
+            for e in edges[f]:
+                left = x[rows, f] <= e
+                gl, hl, gr, hr = g[rows][left].sum(), h[rows][left].sum(), g[rows][~left].sum(), h[rows][~left].sum()
+                gain = gl**2 / (hl + 1) + gr**2 / (hr + 1) - whole
+                if hl >= 2 and hr >= 2 and gain > best + 1e-9:
+                    best, split = gain, (f, e)
+        if split is None:
+            raw[rows] -= rate * g[rows].sum() / (h[rows].sum() + 1)
+            return
+        left = x[rows, split[0]] <= split[1]
+        grow(rows[left], level + 1)
+        grow(rows[~left], level + 1)
+
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = p - y, p * (1 - p)
+        grow(np.arange(len(y)), 0)
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_trees_against_plain(monkeypatch):
+    monkeypatch.setattr(gbt, "TREES", 6)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    x[:, 3] = np.round(x[:, 3])
+    y = ((x[:, 0] > 0.2) ^ (x[:, 3] > 0) ^ (rng.random(300) < 0.1)).astype(float)
+    assert np.abs(gbt.walk(gbt.boost(x, y), x) - plain_boost(x, y, 6)).max() < 1e-9
+
+
+def test_quality_against_plain(spark, monkeypatch):
+    """The whole query: the statistics of the learnt rows in drawn order, then trees that are walked one row at a time."""
+    rows, docs, labels = small_corpus(spark)
+    truth, text = {i: y for i, _, y in rows}, {i: t for i, t, _ in rows}
+    model = gbt.boost(*(np.array(v, float) for v in zip(*((gbt.statistics((t or "").encode()), truth[i]) for _, i, t in learning_order(docs, "quality", 4, 2)))))
+
+    def walk(i):
+        x, raw = gbt.statistics((text[i] or "").encode()), model["bias"][0]
+        for feature, threshold, leaf in zip(model["feature"], model["threshold"], model["leaf"]):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if x[feature[at]] > threshold[at] else 1)
+            raw += leaf[at - len(feature)]
+        return 1 / (1 + math.exp(-raw))
+
+    got = gbt.classify(docs, labels).collect()
+    assert len(got) == len(rows) + 1 and all(abs(r.score - walk(r.doc_id)) < 1e-9 and r.predicted == int(r.score >= 0.7) for r in got)
+
+
+def test_statistics():
+    s = gbt.statistics("Aa bb bb, 12!!\n\nAa bb X | q".encode())
+    words = "Aa bb bb, 12!! Aa bb X | q".split()
+    assert s[1] == math.log(1 + len(words)) and s[16] == len(set(words)) / len(words) and s[18] == 2 and s[25] == 3 and s[27] == 0 and s[-2:] == [1, 1]
+    assert gbt.statistics(None) == gbt.statistics(b"") and len(s) == len(gbt.statistics(b"x " * 100_000))
+
+
 def test_quality_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "a b c. " * 5), (3, "x" * 200_000), (3, "x" * 200_000)], "doc_id long, text string").withColumn("stats", F.lit("clash"))
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
@@ -164,9 +297,10 @@ def test_quality_cases(spark):
     assert ((gbt.walk(gbt.boost(x, y), x) > 0.5) == y).mean() > 0.97
 
 
-def test_pipeline(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("copies", F.lit(1)).cache()
+def follow(spark, docs, sf, tables):
+    """Every stage of the pipeline on its predecessor's whole output, held against a brute-force version of it."""
+    from .test_pairs import brute_components, brute_lines, brute_targets
+
     steps, now = [docs], docs
     for name, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, sf).cache()
@@ -174,21 +308,62 @@ def test_pipeline(spark):
         if name != "packing":
             assert now.columns == docs.columns
     start, clean, lines, unique, mixed, packed = steps
-    verdict = {r.doc_id: r.predicted for r in queries()["op8_ftrl_toxicity"](spark, sf).collect()}
-    assert {r.doc_id for r in clean.collect()} == {i for i, p in verdict.items() if p == 0}
-    from .test_pairs import brute_components, brute_lines
-
+    verdict = Counter((r.doc_id, r.predicted) for r in toxicity.classify(docs, tables).collect())
+    assert Counter(r.doc_id for r in clean.collect()) == Counter({i: n for (i, p), n in verdict.items() if p == 0})
     want = brute_lines([(r.doc_id, r.text) for r in clean.collect()])
     assert {r.doc_id: r.text for r in lines.collect()} == want
     kept = {i for i, (_, _, k) in brute_components([(i, t) for i, t in want.items()], 5).items() if k}
     assert {r.doc_id for r in unique.collect()} == kept
-    assert {r.doc_id for r in mixed.collect()} <= kept and mixed.count() > 0
+    sizes = {r.doc_id: len((r.text or "").encode().split()) for r in unique.collect()}
+    source = {r.doc_id: r.source for r in unique.collect()}
+    by, target = brute_targets(sizes, source)
+    copies = Counter(r.doc_id for r in mixed.collect())
+    assert set(copies) <= kept and max(copies.values(), default=0) <= 2
+    for s in by:
+        took = sum(n * sizes[i] for i, n in copies.items() if source[i] == s)
+        assert abs(took - target[s]) <= max(n for i, n in sizes.items() if source[i] == s)
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    total = sum(len(t.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed.collect())
-    assert packed.agg(F.sum("length")).first()[0] == total
+    ids = {r.doc_id: np.array([*t.encode(r.text, add_special_tokens=False).ids, 2], "<u4") for r in mixed.dropDuplicates(["doc_id"]).collect()}
+    at, whole = 0, Counter()
+    for r in packed.orderBy("sequence_id", "offset").collect():
+        assert r.sequence_id * 4096 + r.offset == at and r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        at += r.length
+        whole[r.doc_id] += r.length
+    assert whole == Counter({i: n * len(ids[i]) for i, n in copies.items()})
+
+
+def test_pipeline(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("copies", F.lit(1)).cache()
+    follow(spark, docs, sf, spark.read.parquet(f"{sf}/labels.parquet"))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near dedup", "mixing", "packing"]
 
 
+def test_pipeline_cases(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing names; and empty tables."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    text = lambda n: "\n".join(" ".join(word() for _ in range(12)) for _ in range(n))
+    rows = [(i, text(rng.randint(1, 8)), "en", rng.choice(["a", "b", None]), None) for i in range(60)]
+    rows += [(100, None, None, None, None), (101, "", "en", "a", 0), (102, rows[3][1], "xx", "c", 7), (103, text(1500), "en", "b", 1), (104, rows[4][1] + " more", None, "a", 3), (105, " \n \n", "en", "z", 5)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, label string, key int, score double"
+    docs = spark.createDataFrame([(*r, "clash", 1, 0.5) for r in rows], shape)
+    labels = [(i, int(i % 9 == 0)) for i in range(60)] + [(None, 1), (5, None)]
+    tables = spark.createDataFrame(labels, "doc_id long, toxic int")
+    tables.write.parquet(str(tmp_path / "labels.parquet"))
+    follow(spark, docs.cache(), str(tmp_path), tables)
+    # rows without an id, and repeated rows, through the whole
+    extra = docs.unionByName(docs.where("doc_id < 9")).unionByName(spark.createDataFrame([(None, text(3), "en", "a", 1, "x", 1, 1.0)] * 2 + [(None, None, None, None, None, None, None, None)], shape))
+    extra.write.parquet(str(tmp_path / "documents.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} >= {None} and len(packed) > 40
+    (tmp_path / "empty").mkdir()
+    docs.where("false").write.parquet(str(tmp_path / "empty/documents.parquet"))
+    tables.where("false").write.parquet(str(tmp_path / "empty/labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_pipeline_mixes_order(spark, tmp_path):
     """Sources and the copies of a document are spread over the packed sequences, by shard and in the mix's order."""
     rows = [(i, f"text number {i} of many words", "en", f"s{i // 400}", 0) for i in range(1600)]
