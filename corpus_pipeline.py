@@ -1,4 +1,11 @@
-"""From documents to packed sequences: toxicity, line dedup, near-dedup, mixing and packing, each over all that is left."""
+"""From documents to packed sequences: toxicity, line dedup, near-dedup, mixing and packing, each over all that is left.
+
+Cases: a null or empty text is scored by the classifier's bias, has no lines or shingles in common with any other, and has no
+words, so the mix never takes it. Texts of any length go whole through every stage. Ties: of equal pieces and of near copies
+the smallest doc_id keeps its own. Rows that repeat a doc_id and text are one document to the two dedup stages: all get the same
+result, and all stay; the mix counts each. Rows without a doc_id are no copies of any, and stay. A null source is a source of its
+own; null lang and n_chars pass through. Extra columns are carried along whatever their names. Empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
