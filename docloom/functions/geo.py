@@ -66,11 +66,23 @@ def in_ring(p, ring: list) -> Column:
     return lng.between(min(xs), max(xs)) & lat.between(min(ys), max(ys)) & (crossings % 2 == 1)
 
 
-def in_circle(p, center, radius: float) -> Column:
-    lng, lat = literal_point(center)
-    dlat = math.degrees(radius / EARTH_RADIUS) * 1.0001
+def around(p, center: tuple[float, float], radius: float) -> Column:
+    """A box that holds all points within ``radius`` metres: plain comparisons that come before any trigonometry."""
+    (lng, lat), angle = center, radius / EARTH_RADIUS * 1.0001 + 1e-9
+    dlat = math.degrees(angle)
     near = p[1].between(lat - dlat, lat + dlat)
-    return near & (distance(p, (lng, lat)) <= radius)
+    if lat - dlat <= -90 or lat + dlat >= 90:  # a pole is inside: any longitude
+        return near
+    dlng = math.degrees(math.asin(min(1.0, math.sin(angle) / math.cos(math.radians(lat)))))
+    west, east = lng - dlng, lng + dlng
+    if west < -180 or east > 180:  # over the date line, and longitudes may be given either way
+        return near
+    return near & p[0].between(west, east) if -180 <= lng <= 180 else near
+
+
+def in_circle(p, center, radius: float) -> Column:
+    at = literal_point(center)
+    return around(p, at, radius) & (distance(p, at) <= radius)
 
 
 def within(p, spec: dict) -> Column:

@@ -2,63 +2,114 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import add, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..plans.session import checkpoint
+
 #: Words that aren't indexed.
 STOP_WORDS = (
-    "a an and are as at be by for from has he in is it its of on that the to was were will with this but they have "
-    "had what when where who which why how all each every both few more most other some such no nor not only own same "
-    "so than too very can just should now"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "were", "will", "with", "this", "but", "they", "have",
+    "had", "what", "when", "where", "who", "which", "why", "how", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same",
+    "so", "than", "too", "very", "can", "just", "should", "now",
+)
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and _, of two characters or more, without stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+    return of_lower(F.lower(text))
+
+
+def of_lower(text: Column) -> Column:
+    words = F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
     return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS))
 
 
+#: Finds the first token of a lower-cased text, if it has any.
+ANY_TOKEN = rf"(?U)(?<!\w)(?!(?:{'|'.join(STOP_WORDS)})(?!\w))\w{{2,}}"
+
+
 def query_tokens(query: str) -> Counter:
     return Counter(w for w in re.findall(r"\w+", query.lower()) if len(w) >= 2 and w not in STOP_WORDS)
 
 
+def same_as(term: str):
+    return lambda w: w == term
+
+
 def joined(df: DataFrame, fields: list[str]) -> Column:
     return F.concat_ws(" ", *(F.col(f).cast("string") for f in fields))
 
 
 class TextIndex:
-    """Postings (id, term, tf, length) of some fields, as a DataFrame that may be cached or written."""
-
-    def __init__(self, df: DataFrame, fields: list[str], id_col: str = "_id", name: str | None = None):
-        self.fields, self.id_col, self.name = fields, id_col, name or "fulltext_" + "_".join(fields)
-        found = df.select(F.col(id_col).alias("id"), F.explode(F.array(tokens(joined(df, fields)))).alias("words")).where(F.size("words") > 0)
-        self.lengths = found.select("id", F.size("words").cast("bigint").alias("length"))
-        terms = found.select("id", F.size("words").cast("bigint").alias("length"), F.explode("words").alias("term"))
-        self.postings = terms.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """A full-text index over some fields.
+
+    Without saved postings a search reads the texts once: it counts the documents, and splits only those that hold a query's
+    term somewhere. ``save`` writes the postings (id, length, term, tf), by which later searches read no text.
+    """
+
+    def __init__(self, df: DataFrame, fields: list[str], id_col: str = "_id", name: str | None = None, saved: DataFrame | None = None):
+        self.df, self.fields, self.id_col, self.name = df, fields, id_col, name or "fulltext_" + "_".join(fields)
+        self.saved = saved
+
+    def build(self) -> DataFrame:
+        """Postings. One with a null term stands for each document, so that their number needs no other table."""
+        found = self.df.select(F.col(self.id_col).alias("id"), F.explode(F.array(tokens(joined(self.df, self.fields)))).alias("words")).where(F.size("words") > 0)
+        terms = found.select("id", F.size("words").cast("bigint").alias("length"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
+        return terms.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.saved if self.saved is not None else self.build()
+
+    def save(self, path: str) -> TextIndex:
+        """Writes the postings, those of a term together, and searches by them from now on."""
+        self.build().repartitionByRange(F.col("term").asc_nulls_first()).sortWithinPartitions("term").write.parquet(path)
+        self.saved = self.df.sparkSession.read.parquet(path)
+        return self
+
+    def _hits(self, terms: list[str]) -> tuple[DataFrame, int, list[int]]:
+        """(id, length, tfs: a count for each term), documents in all, documents that have each term."""
+        seen = Observation()
+        if self.saved is not None:
+            wanted = self.saved.where(F.col("term").isin(*terms))
+            n = self.saved.where("term is null").count()
+            tfs = [F.coalesce(F.sum(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"t{i}") for i, t in enumerate(terms)]
+            rows = wanted.groupBy("id", "length").agg(*tfs).select("id", "length", F.array(*(f"t{i}" for i in range(len(terms)))).alias("tfs"))
+        else:
+            low = self.df.select(F.col(self.id_col).alias("id"), F.explode(F.array(F.lower(joined(self.df, self.fields)))).alias("low"))
+            some = reduce(or_, [F.col("low").contains(t) for t in terms])
+            words = low.select("id", F.col("low").rlike(ANY_TOKEN).alias("counts"), F.explode(F.array(F.when(some, of_lower(F.col("low"))))).alias("words"))
+            tfs = F.array(*(F.coalesce(F.size(F.filter("words", same_as(t))).cast("bigint"), F.lit(0)) for t in terms))
+            rows = words.select("id", "counts", F.size("words").cast("bigint").alias("length"), F.when(F.col("words").isNotNull(), tfs).alias("tfs"))
+            rows, n = rows.observe(seen_all := Observation(), F.count_if("counts").alias("n")), None
+        rows = rows.where(F.exists("tfs", lambda x: x > 0)).observe(seen, *(F.count_if(F.col("tfs")[i] > 0).alias(f"d{i}") for i in range(len(terms))))
+        hits = checkpoint(rows.select("id", "length", "tfs"))
+        return hits, seen_all.get["n"] if n is None else n, [seen.get[f"d{i}"] for i in range(len(terms))]
 
     def search(self, query: str, limit: int | None = None) -> DataFrame:
-        """id and score, best first; any query term may match, repeated ones count again."""
+        """id and score, best first; any query term may match, repeated ones count again. Runs a job while the plan is made."""
         wanted = query_tokens(query)
         if not wanted:
-            return self.postings.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-        weights = F.element_at(F.create_map(*(x for w, n in sorted(wanted.items()) for x in (F.lit(w), F.lit(float(n))))), F.col("term"))
-        # only the query's terms leave the scan of the postings
-        hits = self.postings.where(F.col("term").isin(*sorted(wanted)))
-        df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        n = self.lengths.agg(F.count(F.lit(1)).alias("n"))
-        # a row per query term, and one row
-        idf = F.broadcast(df.crossJoin(n).select("term", (F.log(F.col("n") / (1 + F.col("df"))) + 1).alias("idf")))
-        scored = hits.join(idf, "term").groupBy("id").agg(F.sum(weights * F.col("tf") / F.col("length") * F.col("idf")).alias("score"))
-        best = scored.orderBy(F.col("score").desc(), "id")
+            return self.df.select(F.col(self.id_col).alias("id"), F.lit(0.0).alias("score")).where(F.lit(False))
+        terms = sorted(wanted)
+        hits, n, have = self._hits(terms)
+        parts = [F.lit(float(wanted[t])) * F.col("tfs")[i] / F.col("length") * F.lit(math.log(n / (1 + have[i])) + 1 if n else 0.0) for i, t in enumerate(terms)]
+        best = hits.select("id", reduce(add, parts).alias("score")).orderBy(F.col("score").desc(), "id")
         return best.limit(limit) if limit else best
 
     def stats(self) -> DataFrame:
-        terms = self.postings.agg(F.countDistinct("term").alias("vocabulary_size"))
-        return self.lengths.agg(F.count(F.lit(1)).alias("num_documents"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_doc_length")).crossJoin(terms)
+        """One row, from one pass over the postings: they are met by term, then summed up."""
+        by_term = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"))
+        document = F.col("term").isNull()
+        whole = by_term.agg(F.count_if(~document).alias("vocabulary_size"), F.coalesce(F.sum(F.when(document, F.col("n"))), F.lit(0)).alias("num_documents"), F.sum(F.when(document, F.col("length"))).alias("length"))
+        return whole.select("vocabulary_size", "num_documents", F.coalesce(F.try_divide(F.col("length").cast("double"), F.col("num_documents")), F.lit(0.0)).alias("avg_doc_length"))
 
 
 def scan(df: DataFrame, query: str) -> DataFrame:

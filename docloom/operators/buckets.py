@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 
 from pyspark.sql import DataFrame
@@ -51,15 +53,28 @@ SERIES = {
 }
 
 
-def edges(low: float, high: float, n: int, granularity: str | None) -> list[float]:
-    """Equal widths from low to a little over high; a granularity rounds the width to its series."""
-    if low == high:
+def width_of(span: float, buckets: int, granularity: str | None) -> float:
+    """The buckets' common width; with a granularity the nearest step of its series in the decade that holds the width."""
+    width = span / buckets
+    if granularity is None:
+        return width
+    unit = 10.0 ** math.floor(math.log10(width))
+    steps = [unit * x for x in SERIES.get(granularity, [1])]
+    return steps[bisect.bisect([(a + b) / 2 for a, b in itertools.pairwise(steps)], width)]
+
+
+def edges(low: float, high: float, buckets: int, granularity: str | None = None) -> list[float]:
+    """Ends of the buckets, ascending from the smallest value; the last lies a thousandth of the range above the largest.
+
+    Values that are all equal get one bucket of width 1. A rounded width may leave the last bucket wider than the others, or
+    reach past the largest value: the last end never lies under the one before it.
+    """
+    span = high - low
+    if not span:
         return [low, low + 1]
-    step = (high - low) / n
-    if granularity:
-        decade = 10 ** int(math.log10(step))
-        step = min(SERIES.get(granularity, [1]), key=lambda x: abs(x - step / decade)) * decade
-    return [low + i * step for i in range(n)] + [high + (high - low) * 0.001]
+    width = width_of(span, buckets, granularity)
+    inner = [low + width * k for k in range(buckets)]
+    return [*inner, max(high + span / 1000, inner[-1])]
 
 
 def bucket_auto(df: DataFrame, spec: dict, ctx=None) -> DataFrame:

@@ -50,7 +50,8 @@ def correlated(df: DataFrame, right: DataFrame, spec: dict, ctx) -> DataFrame:
     """$lookup with let and pipeline.
 
     Foreign documents are gathered once for every distinct tuple of let values and joined back by it. Conjuncts that
-    equate a variable with a foreign expression become join keys; other $expr conditions are the residual.
+    equate a variable with a foreign expression become join keys; other $expr conditions are the residual. Stages after them
+    run for every tuple by itself: $group and $count group by it too. A tuple without documents has an empty array.
     """
     from ..plans import pipeline
 
@@ -92,8 +93,12 @@ def correlated(df: DataFrame, right: DataFrame, spec: dict, ctx) -> DataFrame:
         elif name in ("$limit", "$skip"):
             n = F.row_number().over(W.partitionBy(*cols).orderBy(ORD))
             rows = rows.withColumn("__n", n).where(F.col("__n") <= body if name == "$limit" else F.col("__n") > body).drop("__n")
-        elif name in ("$match", "$addFields", "$set"):
+        elif name in ("$match", "$addFields", "$set", "$unwind", "$unset"):
             rows = pipeline.STAGES[name](rows, body, ctx)
+        elif name == "$group":
+            rows = pipeline.group(rows, body, within=tuple(cols))
+        elif name == "$count":
+            rows = pipeline.group(rows, {"_id": None, body: {"$count": {}}}, within=tuple(cols)).drop("_id")
         elif name == "$project":
             kept = pipeline.project(rows.select(F.struct(*(F.col(c) for c in cols)).alias("__v"), *(c for c in rows.columns if c not in cols)), {**body, "__v": 1} if any(v not in (0, False) for k, v in body.items()) else body)
             rows = kept.select("__v.*", *(c for c in kept.columns if c != "__v"))

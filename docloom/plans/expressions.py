@@ -103,8 +103,6 @@ plain(("$subtract",), lambda *c: functools.reduce(operator.sub, c))
 plain(("$multiply",), lambda *c: functools.reduce(operator.mul, c))
 plain(("$divide",), lambda a, b: F.try_divide(a.cast("double"), b.cast("double")))
 plain(("$mod",), lambda a, b: F.when(b != 0, a - b * F.floor(F.try_divide(a, b))))
-plain(("$ceil",), lambda a: F.ceil(a))
-plain(("$floor",), lambda a: F.floor(a))
 plain(("$pow",), lambda a, b: F.pow(a.cast("double"), b.cast("double")))
 plain(("$sqrt",), lambda a: F.when(a >= 0, F.sqrt(a)))
 plain(("$trunc",), lambda a: a.cast("bigint"))
@@ -120,6 +118,18 @@ plain(("$toString",), lambda a: a.cast("string"))
 plain(("$ifNull",), lambda *c: F.coalesce(*c))
 
 
+def _rounding(fn):
+    def build(arg, scope):
+        (a,) = operands(arg, scope)
+        return fn(a) if is_numeric(scope.type_of(a)) else F.lit(None).cast("bigint")
+
+    return build
+
+
+register("$ceil")(_rounding(F.ceil))
+register("$floor")(_rounding(F.floor))
+
+
 @register("$abs")
 def _abs(arg, scope):
     (a,) = operands(arg, scope)
@@ -197,8 +207,16 @@ def _size(arg, scope):
     return F.coalesce(F.size(c), F.lit(0)).cast("bigint") if isinstance(scope.type_of(c), T.ArrayType) else F.lit(0).cast("bigint")
 
 
-plain(("$arrayElemAt",), lambda a, i: F.try_element_at(a, F.when(i >= 0, i + 1).otherwise(i).cast("int")))
-plain(("$in",), lambda x, a: F.exists(a, lambda e: e.eqNullSafe(x)))
+@register("$arrayElemAt")
+def _element(arg, scope):
+    a, i = operands(arg, scope)
+    return F.try_element_at(a, F.when(i >= 0, i + 1).otherwise(i).cast("int")) if isinstance(scope.type_of(a), T.ArrayType) else F.lit(None)
+
+
+@register("$in")
+def _in(arg, scope):
+    x, a = operands(arg, scope)
+    return F.exists(a, lambda e: e.eqNullSafe(x)) if isinstance(scope.type_of(a), T.ArrayType) else F.lit(None).cast("boolean")
 
 
 @register("$concatArrays")

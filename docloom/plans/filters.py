@@ -11,6 +11,7 @@ import operator
 import re
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,10 +141,14 @@ def operator_of(op, arg, found, positive: bool, ops: dict) -> Column:
             arg = arg if isinstance(arg, dict) and ("$geometry" in arg or "$maxDistance" in arg) else {"$geometry": arg}
             away = geo.distance(point, geo.literal_point(arg.get("$geometry", arg)))
             most, least = ops.get("$maxDistance", arg.get("$maxDistance")), ops.get("$minDistance", arg.get("$minDistance"))
-            hit = away.isNotNull() & (away <= most if most is not None else F.lit(True)) & (away >= least if least is not None else F.lit(True))
+            first = geo.around(point, geo.literal_point(arg.get("$geometry", arg)), most) if most is not None else F.lit(True)
+            hit = first & away.isNotNull() & (away <= most if most is not None else F.lit(True)) & (away >= least if least is not None else F.lit(True))
         else:
             hit = geo.within(point, arg)
         return known(hit, positive)
+    if op == "$type":
+        names = {type_name(kind), "number" if isinstance(kind, T.NumericType) else ""}
+        return known(col.isNotNull() if names & set([arg] if isinstance(arg, str) else arg) else F.lit(False), positive)
     if op == "$mod":
         return known(col - F.floor(col / arg[0]) * arg[0] == arg[1], positive)
     if op == "$elemMatch":
@@ -154,17 +159,43 @@ def operator_of(op, arg, found, positive: bool, ops: dict) -> Column:
     raise FilterError(f"unknown operator {op}")
 
 
+def type_name(kind: T.DataType) -> str:
+    """The document type of a column."""
+    for names, kinds in ((("string",), T.StringType), (("bool",), T.BooleanType), (("int",), (T.ByteType, T.ShortType, T.IntegerType)), (("long",), T.LongType), (("double",), (T.FloatType, T.DoubleType)), (("decimal",), T.DecimalType), (("date",), (T.DateType, T.TimestampType, T.TimestampNTZType)), (("binData",), T.BinaryType), (("array",), T.ArrayType), (("object",), (T.StructType, T.MapType))):
+        if isinstance(kind, kinds):
+            return names[0]
+    return "null"
+
+
 def holds(array: Column, value) -> Column:
     return F.exists(array, lambda x: x.eqNullSafe(literal(value)))
 
 
+def vectorised(fn: Callable) -> Callable:
+    """Marks a predicate that takes and returns pandas Series: it runs on Arrow batches."""
+    fn.vectorised = True
+    return fn
+
+
+def rowwise(fn: Callable) -> Callable:
+    """Marks a predicate of plain values, which is called for every one of them."""
+    fn.rowwise = True
+    return fn
+
+
 def called(fn: Callable, col: Column, kind: T.DataType, arg) -> Column:
-    """A user's predicate: a function of a Column that returns one stays in the plan; any other runs as an Arrow UDF."""
+    """A user's predicate. One of Columns stays in the plan; ``vectorised`` ones get batches; others get single values.
+
+    Which of them an unmarked function is, is found by a call with a Column: what isn't made for one raises or returns no Column.
+    """
     args = list(arg) if isinstance(arg, (list, tuple)) else [arg]
-    try:
-        made = fn(col, *args)
+    if getattr(fn, "vectorised", False):
+        return F.pandas_udf(lambda v: fn(v, *args).fillna(False).astype(bool), "boolean", F.PandasUDFType.SCALAR)(col)
+    if not getattr(fn, "rowwise", False):
+        try:
+            made = fn(col, *args)
+        except (TypeError, ValueError, AttributeError, LookupError, ArithmeticError, PySparkException):  # of plain values
+            made = None
         if isinstance(made, Column):
             return made
-    except Exception:  # noqa: BLE001  it wants plain values
-        pass
     return F.udf(lambda v: v is not None and bool(fn(v, *args)), "boolean", useArrow=True)(col)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +15,7 @@ from .expressions import Scope, accumulator, compile_expr
 from .filters import compile_filter
 from .order import ORD, in_order, ordered, sort_key
 from .paths import literal, resolve, with_path
+from .session import checkpoint
 
 
 class PipelineError(ValueError):
@@ -49,72 +51,122 @@ def keep_hidden(df: DataFrame) -> list:
     return [F.col(c) for c in df.columns if c.startswith(ORD)]
 
 
-def pruned(col, kind, tree: dict):
-    """A row with only the fields of the tree; {} keeps a value whole."""
-    if not tree:
+def leaf_tree(paths: dict) -> dict:
+    """{"a.b": x, "a.c": y} as {"a": {"b": x, "c": y}}."""
+    tree: dict = {}
+    for path, value in paths.items():
+        *steps, last = path.split(".")
+        at = tree
+        for step in steps:
+            at = at.setdefault(step, {})
+            if not isinstance(at, dict):
+                raise PipelineError(f"{path} lies inside another path of the stage")
+        if last in at:
+            raise PipelineError(f"{path} collides with another path of the stage")
+        at[last] = value
+    return tree
+
+
+WHOLE = object()
+
+
+def shaped(col, kind, tree):
+    """A row with only the fields of the tree. A leaf is WHOLE (the value as it is) or a Column (a value of its own)."""
+    if tree is WHOLE:
         return col
+    if isinstance(tree, Column):
+        return tree
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: shaped(x, kind.elementType, tree))
+    names = kind.names if isinstance(kind, T.StructType) else []
+    made = [shaped(None, None, v).alias(k) for k, v in tree.items() if k not in names and new_values(v)]
+    if not names:
+        return F.struct(*made) if made else col
+    fields = [shaped(col.getField(f.name), f.dataType, tree[f.name]).alias(f.name) for f in kind.fields if f.name in tree]
+    whole = F.struct(*fields, *made) if fields or made else F.lit(None)
+    return whole if any(new_values(v) for v in tree.values()) else F.when(col.isNotNull(), whole)
+
+
+def new_values(tree) -> bool:
+    return isinstance(tree, Column) or isinstance(tree, dict) and any(map(new_values, tree.values()))
+
+
+def without(col, kind, tree):
+    """A row less the fields of the tree; inside arrays, less those of every element."""
     if isinstance(kind, T.ArrayType):
-        return F.transform(col, lambda x: pruned(x, kind.elementType, tree))
+        return F.transform(col, lambda x: without(x, kind.elementType, tree))
     if not isinstance(kind, T.StructType):
         return col
-    fields = [pruned(col.getField(f.name), f.dataType, tree[f.name]).alias(f.name) for f in kind.fields if f.name in tree]
+    kept = [(f, tree.get(f.name)) for f in kind.fields if tree.get(f.name) is not WHOLE]
+    fields = [(without(col.getField(f.name), f.dataType, t) if t else col.getField(f.name)).alias(f.name) for f, t in kept]
     return F.when(col.isNotNull(), F.struct(*fields)) if fields else F.lit(None)
 
 
+def grafted(col, kind, tree):
+    """A row with the tree's Columns put in; parents that are missing are made, and arrays get them in every element."""
+    if isinstance(tree, Column):
+        return tree
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        return F.transform(col, lambda x: grafted(x, kind.elementType, tree))
+    old = kind.fields if isinstance(kind, T.StructType) else []
+    fields = [(grafted(col.getField(f.name), f.dataType, tree[f.name]) if f.name in tree else col.getField(f.name)).alias(f.name) for f in old]
+    names = [f.name for f in old]
+    return F.struct(*fields, *(grafted(None, None, v).alias(k) for k, v in tree.items() if k not in names))
+
+
+def field_of(df: DataFrame, name: str) -> T.StructField | None:
+    return next((f for f in df.schema.fields if f.name == name), None)
+
+
 def project(df: DataFrame, spec: dict, ctx: Context | None = None) -> DataFrame:
-    flags = {k: v for k, v in spec.items() if v in (0, 1, True, False) and isinstance(v, (int, bool))}
+    flags = {k: v for k, v in spec.items() if isinstance(v, (int, bool)) and v in (0, 1, True, False)}
     dropped = [k for k, v in flags.items() if not v]
     if any(k != "_id" for k in dropped) or (dropped and len(spec) == 1):
         out = df
-        for path in dropped:
-            head, _, rest = path.partition(".")
-            if head in out.columns:
-                out = out.withColumn(head, F.col(f"`{head}`").dropFields(rest)) if rest else out.drop(head)
+        for head, tree in leaf_tree(dict.fromkeys(dropped, WHOLE)).items():
+            field = field_of(out, head)
+            if field is not None:
+                out = out.drop(head) if tree is WHOLE else out.withColumn(head, without(F.col(f"`{head}`"), field.dataType, tree))
         return out
-    tree: dict = {}
-    scope, cols = Scope(df), {}
+    scope, leaves = Scope(df), {}
     if "_id" in df.columns and spec.get("_id", 1) in (1, True):
-        tree["_id"] = {}
-    for name, value in spec.items():
-        if name in flags:
-            if flags[name]:
-                at = tree
-                for step in name.split("."):
-                    at = at.setdefault(step, {})
-        else:
-            cols[name] = compile_expr(value, scope)
-    for name in tree:
-        field = next((f for f in df.schema.fields if f.name == name), None)
+        leaves["_id"] = WHOLE
+    leaves |= {k: WHOLE if k in flags else compile_expr(v, scope) for k, v in spec.items() if flags.get(k, 1)}
+    cols = {}
+    for name, tree in leaf_tree(leaves).items():
+        field = field_of(df, name)
         if field is not None:
-            cols = {name: pruned(F.col(f"`{name}`"), field.dataType, tree[name])} | cols if name == "_id" else cols | {name: pruned(F.col(f"`{name}`"), field.dataType, tree[name])}
+            cols[name] = shaped(F.col(f"`{name}`"), field.dataType, tree)
+        elif new_values(tree):
+            cols[name] = shaped(None, None, tree)
     return df.select(*(c.alias(k) for k, c in cols.items()), *keep_hidden(df))
 
 
 def add_fields(df: DataFrame, spec: dict, ctx: Context | None = None) -> DataFrame:
-    scope, new = Scope(df), {}
-    for path, value in spec.items():
-        col = compile_expr(value, scope)
-        head, whole = with_path(df.schema, path, new.get(path, col)) if "." in path else (path, col)
-        new[head] = whole
-    return df.withColumns(new)
+    """All values are of the incoming document; paths under one parent are put in together."""
+    scope = Scope(df)
+    tree = leaf_tree({path: compile_expr(value, scope) for path, value in spec.items()})
+    fields = {head: field_of(df, head) for head in tree}
+    return df.withColumns({head: grafted(F.col(f"`{head}`") if (f := fields[head]) else None, f.dataType if f else None, inner) for head, inner in tree.items()})
 
 
-def group(df: DataFrame, spec: dict, ctx: Context | None = None) -> DataFrame:
+def group(df: DataFrame, spec: dict, ctx: Context | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """within: columns that groups never cross; they are kept."""
     df = ordered(df)
     scope = Scope(df)
     aggs = [accumulator(v, scope).alias(k) for k, v in spec.items() if k != "_id"]
     key = spec.get("_id")
     constant = not (isinstance(key, str) and key.startswith("$")) and not isinstance(key, dict)
     if constant:
-        out = df.agg(F.min(ORD).alias(ORD), *aggs)
-        return out.select(literal(key).alias("_id"), *(k for k in spec if k != "_id"), ORD)
+        out = df.groupBy(*within).agg(F.min(ORD).alias(ORD), *aggs)
+        return out.select(*within, literal(key).alias("_id"), *(k for k in spec if k != "_id"), ORD)
     if isinstance(key, dict) and key and not any(k.startswith("$") for k in key):  # flat keys, packed afterwards
         names = [f"__key{i}" for i in range(len(key))]
-        out = df.groupBy(*(compile_expr(v, scope).alias(n) for n, v in zip(names, key.values()))).agg(F.min(ORD).alias(ORD), *aggs)
+        out = df.groupBy(*within, *(compile_expr(v, scope).alias(n) for n, v in zip(names, key.values()))).agg(F.min(ORD).alias(ORD), *aggs)
         packed = F.struct(*(F.col(n).alias(k) for n, k in zip(names, key)))
-        return out.select(packed.alias("_id"), *(k for k in spec if k != "_id"), ORD)
-    out = df.groupBy(compile_expr(key, scope).alias("_id")).agg(F.min(ORD).alias(ORD), *aggs)
-    return out.select("_id", *(k for k in spec if k != "_id"), ORD)
+        return out.select(*within, packed.alias("_id"), *(k for k in spec if k != "_id"), ORD)
+    out = df.groupBy(*within, compile_expr(key, scope).alias("_id")).agg(F.min(ORD).alias(ORD), *aggs)
+    return out.select(*within, "_id", *(k for k in spec if k != "_id"), ORD)
 
 
 def order_columns(df: DataFrame, keys) -> tuple[list, list]:
@@ -152,9 +204,18 @@ def unwind(df: DataFrame, spec, ctx: Context | None = None) -> DataFrame:
     return rows.drop("__at", "__item")
 
 
+WIDE = re.compile(r"^[\s:+-]*(Join|Aggregate|Window|Sort|Repartition|RepartitionByExpression|Distinct|GlobalLimit)\b", re.M)
+
+
 def facet(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
-    """One row of arrays. Every branch is an aggregate over the same input, so each has one row to be joined."""
+    """One row of arrays. Every branch is an aggregate over the same input, so each has one row to be joined.
+
+    An input that takes shuffles to make is made once, as a checkpoint. One that is a scan with filters and projections is
+    read by each branch for itself, with its own columns and filters pushed down: less than writing and reading it again.
+    """
     df, out = ordered(df), None
+    if len(spec) > 1 and WIDE.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        df = checkpoint(df)
     for name, stages in spec.items():
         branch = ordered(apply(df, stages, ctx, hidden=True))
         row = F.struct(*(F.col(f"`{c}`") for c in visible(branch)))
@@ -163,6 +224,28 @@ def facet(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
     return out
 
 
+def skip(df: DataFrame, n: int, ctx: Context | None = None) -> DataFrame:
+    return ordered(df).orderBy(ORD).offset(n)
+
+
+def limit(df: DataFrame, n: int, ctx: Context | None = None) -> DataFrame:
+    return ordered(df).orderBy(ORD).limit(n)
+
+
+def sort_by_count(df: DataFrame, spec, ctx: Context | None = None) -> DataFrame:
+    return sort(group(df, {"_id": spec, "count": {"$count": {}}}), {"count": -1})
+
+
+def union_with(df: DataFrame, spec, ctx: Context) -> DataFrame:
+    """The other collection's documents after these."""
+    spec = {"coll": spec} if isinstance(spec, str) else spec
+    other = ctx.table(spec["coll"])
+    if other is None:
+        return df
+    other = apply(ordered(other), spec.get("pipeline", []), ctx)
+    return df.drop(ORD).unionByName(other, allowMissingColumns=True)
+
+
 def count(df: DataFrame, name: str, ctx: Context | None = None) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
@@ -179,8 +262,10 @@ STAGES: dict[str, Callable[[DataFrame, object, Context], DataFrame]] = {
     "$unset": unset,
     "$group": group,
     "$sort": sort,
-    "$skip": lambda df, n, ctx: df.offset(n),
-    "$limit": lambda df, n, ctx: df.limit(n),
+    "$skip": skip,
+    "$limit": limit,
+    "$sortByCount": sort_by_count,
+    "$unionWith": union_with,
     "$count": count,
     "$unwind": unwind,
     "$facet": facet,
@@ -192,10 +277,21 @@ STAGES: dict[str, Callable[[DataFrame, object, Context], DataFrame]] = {
 }
 
 
+#: These leave rows where they are.
+ROW_BY_ROW = {"$match", "$project", "$addFields", "$set", "$unset", "$unwind", "$replaceRoot"}
+#: After these the documents are others, in an order of their own.
+REGROUP = {"$group", "$count", "$facet", "$bucket", "$bucketAuto", "$unionWith"}
+
+
 def apply(df: DataFrame, stages: list[dict], ctx: Context | Mapping | None = None, hidden: bool = False) -> DataFrame:
-    """The pipeline's result, lazily. Unknown stages raise. hidden keeps the order column."""
+    """The pipeline's result, lazily. Unknown stages raise. hidden keeps the order column.
+
+    $skip and $limit take documents in their order, whatever joins and groups came before; straight after a $sort they share
+    its top-k plan. The result of a pipeline with a $sort comes in that order.
+    """
     ctx = ctx if isinstance(ctx, Context) else Context(ctx)
-    i = 0
+    # top: the plan ends in a sort, so $limit can share it; lying: rows come out in order; sorted_by: a $sort gave the order
+    i, top, lying, sorted_by = 0, False, False, False
     while i < len(stages):
         if len(stages[i]) != 1:
             raise PipelineError(f"a stage has one operator: {stages[i]}")
@@ -205,11 +301,21 @@ def apply(df: DataFrame, stages: list[dict], ctx: Context | Mapping | None = Non
         fused = joins.fuse(df, stages[i:], ctx) if name == "$lookup" else None
         if fused is not None:
             df, used = fused
-            i += used
+            i, top, lying = i + used, False, False
             continue
-        df = STAGES[name](df, spec, ctx)
+        if top and name in ("$skip", "$limit"):
+            df = df.offset(spec) if name == "$skip" else df.limit(spec)
+        else:
+            df = STAGES[name](df, spec, ctx)
+        top = name in ("$sort", "$skip", "$limit", "$sortByCount")
+        lying = top or lying and name in ROW_BY_ROW
+        sorted_by = name in ("$sort", "$sortByCount") or sorted_by and name not in REGROUP
         i += 1
-    return df if hidden else df.select(*(F.col(f"`{c}`") for c in visible(df)))
+    if hidden:
+        return df
+    if sorted_by and not lying and ORD in df.columns:
+        df = df.orderBy(ORD)
+    return df.select(*(F.col(f"`{c}`") for c in visible(df)))
 
 
 def aggregate(df: DataFrame, stages: list[dict], tables=None, order: list[str] | None = None) -> DataFrame:

@@ -12,9 +12,11 @@ class QueryCache:
     """LRU of results; keys hold the table's version, so a write makes old entries unreachable."""
 
     def __init__(self, size: int = 100):
-        self.size, self.hits, self.misses, self.items = size, 0, 0, OrderedDict()
+        self.size, self.hits, self.misses, self.items, self.enabled = size, 0, 0, OrderedDict(), True
 
     def get(self, key: Hashable, make: Callable):
+        if not self.enabled:
+            return make()
         if key in self.items:
             self.hits += 1
             self.items.move_to_end(key)
@@ -55,18 +57,28 @@ def fields_of(spec: dict) -> list[str]:
 
 
 class Recorder:
-    def __init__(self, slow_s: float = 1.0):
-        self.slow_s, self.shapes, self.fields, self.slow = slow_s, Counter(), Counter(), []
+    """What was asked, how often, and how long actions took."""
+
+    def __init__(self, slow_s: float = 0.1, most: int = 1000):
+        self.slow_s, self.most, self.shapes, self.seconds, self.fields, self.slow = slow_s, most, Counter(), Counter(), Counter(), []
 
     @contextlib.contextmanager
     def timed(self, kind: str, spec: dict):
         began = time.perf_counter()
-        yield
-        took = time.perf_counter() - began
-        self.shapes[kind, shape(spec)] += 1
-        self.fields.update(fields_of(spec))
-        if took > self.slow_s:
-            self.slow.append({"kind": kind, "filter": spec, "seconds": took})
+        try:
+            yield
+        finally:
+            took = time.perf_counter() - began
+            key = kind, shape(spec)
+            self.shapes[key] += 1
+            self.seconds[key] += took
+            self.fields.update(fields_of(spec))
+            if took > self.slow_s:
+                self.slow = [*self.slow[1 - self.most :], {"kind": kind, "filter": spec, "seconds": took}]
+
+    def patterns(self) -> list[dict]:
+        """Shapes of queries, the most frequent first."""
+        return [{"kind": kind, "shape": what, "count": n, "seconds": self.seconds[kind, what]} for (kind, what), n in self.shapes.most_common()]
 
     def suggestions(self, least: int = 3) -> list[str]:
         """Fields that are filtered on often: sort or bucket the table by them, so that Parquet statistics prune."""

@@ -4,93 +4,150 @@ import pytest
 from docloom.operators.buckets import edges
 from docloom.plans.expressions import ExpressionError
 from docloom.plans.pipeline import PipelineError, aggregate
-from docloom.queries import QUERIES
 
-STAFF = [(1, "Alice", 25, "NYC", 50000, "Engineering"), (2, "Bob", 30, "LA", 60000, "Sales"), (3, "Charlie", 35, "NYC", 70000, "Engineering"), (4, "Diana", 28, "LA", 55000, "Marketing"), (5, "Eve", 32, "NYC", 65000, "Sales"), (6, "Frank", 40, "Chicago", 80000, "Engineering")]
+BOATS = [(1, "Heron", 9, "Oban", 410, "ferry"), (2, "Petrel", 14, "Lerwick", 520, "trawler"), (3, "Skua", 21, "Oban", 660, "ferry"), (4, "Dipper", 12, "Lerwick", 480, "tug"), (5, "Wigeon", 17, "Oban", 590, "trawler"), (6, "Smew", 33, "Wick", 900, "ferry")]
 
 
 @pytest.fixture(scope="module")
-def staff(spark):
-    return spark.createDataFrame(STAFF, "_id bigint, name string, age bigint, city string, salary bigint, department string").cache()
+def boats(spark):
+    return spark.createDataFrame(BOATS, "_id bigint, name string, age bigint, port string, tons bigint, kind string").cache()
 
 
 def rows(df):
     return [r.asDict(True) for r in df.collect()]
 
 
-def test_group(staff):
-    got = {r["_id"]: r for r in rows(aggregate(staff, [{"$group": {"_id": "$department", "total": {"$sum": "$salary"}, "young": {"$min": "$age"}, "names": {"$push": "$name"}, "first": {"$first": "$name"}, "last": {"$last": "$name"}}}]))}
-    assert got["Engineering"] == {"_id": "Engineering", "total": 200000, "young": 25, "names": ["Alice", "Charlie", "Frank"], "first": "Alice", "last": "Frank"}
+def test_group(boats):
+    got = {r["_id"]: r for r in rows(aggregate(boats, [{"$group": {"_id": "$kind", "total": {"$sum": "$tons"}, "young": {"$min": "$age"}, "names": {"$push": "$name"}, "first": {"$first": "$name"}, "last": {"$last": "$name"}}}]))}
+    assert got["ferry"] == {"_id": "ferry", "total": 1970, "young": 9, "names": ["Heron", "Skua", "Smew"], "first": "Heron", "last": "Smew"}
 
 
-def test_tiers(staff):
-    tier = {"$cond": [{"$gte": ["$age", 40]}, "Senior", {"$cond": [{"$gte": ["$age", 30]}, "Mid", "Junior"]}]}
-    got = {r["name"]: r["tier"] for r in rows(aggregate(staff, [{"$addFields": {"tier": tier}}]))}
-    assert (got["Frank"], got["Eve"], got["Alice"]) == ("Senior", "Mid", "Junior")
+def test_tiers(boats):
+    tier = {"$cond": [{"$gte": ["$age", 30]}, "old", {"$cond": [{"$gte": ["$age", 15]}, "used", "new"]}]}
+    got = {r["name"]: r["tier"] for r in rows(aggregate(boats, [{"$addFields": {"tier": tier}}]))}
+    assert (got["Smew"], got["Wigeon"], got["Heron"]) == ("old", "used", "new")
 
 
-def test_sort_then_push(staff):
-    got = rows(aggregate(staff, [{"$sort": {"city": -1, "age": -1}}, {"$group": {"_id": None, "names": {"$push": "$name"}}}]))
-    assert got == [{"_id": None, "names": ["Charlie", "Eve", "Alice", "Bob", "Diana", "Frank"]}]
+def test_sort_then_push(boats):
+    got = rows(aggregate(boats, [{"$sort": {"port": -1, "age": -1}}, {"$group": {"_id": None, "names": {"$push": "$name"}}}]))
+    assert got == [{"_id": None, "names": ["Smew", "Skua", "Wigeon", "Heron", "Petrel", "Dipper"]}]
 
 
 def test_buckets(spark):
-    goods = spark.createDataFrame([(1, "A", 50), (2, "B", 150), (3, "C", 999)], "_id bigint, name string, price bigint")
-    out = {"products": {"$push": "$name"}}
-    got = rows(aggregate(goods, [{"$bucket": {"groupBy": "$price", "boundaries": [0, 100, 200], "default": "Other", "output": out}}, {"$sort": {"_id": 1}}]))
-    assert got == [{"_id": "0", "products": ["A"]}, {"_id": "100", "products": ["B"]}, {"_id": "Other", "products": ["C"]}]
-    values = spark.createDataFrame([(i, 10 * i) for i in range(1, 7)], "_id bigint, value bigint")
-    got = rows(aggregate(values, [{"$bucketAuto": {"groupBy": "$value", "buckets": 3}}]))
-    assert sorted(r["count"] for r in got) == [2, 2, 2]
+    goods = spark.createDataFrame([(1, "pin", 7), (2, "jar", 31), (3, "bed", 800)], "_id bigint, name string, cost bigint")
+    out = {"goods": {"$push": "$name"}}
+    got = rows(aggregate(goods, [{"$bucket": {"groupBy": "$cost", "boundaries": [0, 20, 40], "default": "dear", "output": out}}, {"$sort": {"_id": 1}}]))
+    assert got == [{"_id": "0", "goods": ["pin"]}, {"_id": "20", "goods": ["jar"]}, {"_id": "dear", "goods": ["bed"]}]
+    none = rows(aggregate(goods, [{"$bucket": {"groupBy": "$cost", "boundaries": [0, 1000], "default": "dear"}}, {"$sort": {"_id": 1}}]))
+    assert [(r["_id"], r["count"]) for r in none] == [("0", 3), ("dear", 0)]
+    values = spark.createDataFrame([(i, 3 * i) for i in range(12)], "_id bigint, value bigint")
+    got = rows(aggregate(values, [{"$bucketAuto": {"groupBy": "$value", "buckets": 4}}]))
+    assert sorted(r["count"] for r in got) == [3, 3, 3, 3]
     assert rows(aggregate(values.where("false"), [{"$bucketAuto": {"groupBy": "$value", "buckets": 3}}])) == []
-    assert edges(-10.0, 10.0, 2, None)[:2] == [-10.0, 0.0]
 
 
-def test_facet_of_nothing(staff):
-    assert rows(aggregate(staff.where("false"), [{"$facet": {"count": [{"$count": "total"}], "names": [{"$project": {"name": 1, "_id": 0}}]}}])) == [{"count": [{"total": 0}], "names": []}]
+def test_bucket_edges():
+    assert edges(-6.0, 6.0, 3) == [-6.0, -2.0, 2.0, 6.012]
+    assert edges(5.0, 5.0, 3) == [5.0, 6.0]
+    # widths under 1 are rounded in their own decade: 0.07 / 2 = 0.035 to 0.04 of 0.01, 0.02, 0.04, 0.05
+    assert edges(0.0, 0.07, 2, "R20")[1] == pytest.approx(0.04)
+    assert edges(0.0, 44.0, 2, "R5")[1] == 20.0 and edges(0.0, 80.0, 2, "R5")[1] == 50.0
+    for low, high, n, series in ((0.0, 1e-6, 7, "R5"), (-1e9, 3.0, 11, "R80"), (2.0, 2.5, 3, "R128")):
+        ends = edges(low, high, n, series)
+        assert len(ends) == n + 1 and ends == sorted(ends) and ends[-1] > high
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_order_through_joins(spark, threshold):
+    """$skip and $limit follow the documents' order, and results a $sort, whatever shuffles came between."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        left = spark.createDataFrame([(i, i * 7 % 2000, i % 3) for i in range(2000)], "_id bigint, x bigint, k bigint").repartition(8)
+        right = spark.createDataFrame([(k, f"n{k}") for k in range(3)], "k bigint, name string")
+        look = {"$lookup": {"from": "right", "localField": "k", "foreignField": "k", "as": "r"}}
+        top = aggregate(left, [{"$sort": {"x": -1}}, look, {"$limit": 5}], {"right": right}).collect()
+        assert [r.x for r in top] == [1999, 1998, 1997, 1996, 1995] and all(r.r[0]["name"] == f"n{r.k}" for r in top)
+        top = aggregate(left, [{"$sort": {"x": 1}}, look, {"$unwind": "$r"}, {"$skip": 2}, {"$limit": 3}], {"right": right}).collect()
+        assert [r.x for r in top] == [2, 3, 4]
+        assert [r.x for r in aggregate(left, [{"$sort": {"x": -1}}, {"$match": {"x": {"$lt": 900}}}, look], {"right": right}).collect()] == list(range(899, -1, -1))
+        assert [r._id for r in aggregate(left, [look, {"$match": {"x": {"$gte": 0}}}, {"$skip": 10}, {"$limit": 4}], {"right": right}).collect()] == [10, 11, 12, 13]
+        groups = aggregate(left, [{"$group": {"_id": "$k", "n": {"$count": {}}}}, {"$skip": 1}, {"$limit": 1}]).collect()
+        assert [r["_id"] for r in groups] == [1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sort_and_limit_share_a_plan(spark):
+    df = aggregate(spark.range(50).selectExpr("id AS _id", "-id AS x"), [{"$sort": {"x": 1}}, {"$skip": 2}, {"$limit": 3}])
+    assert "TakeOrderedAndProject" in df._jdf.queryExecution().executedPlan().toString() and [r.x for r in df.collect()] == [-47, -46, -45]
+
+
+def test_paths_in_stages(spark):
+    df = spark.createDataFrame([(1, (2, 3), [(4, 5), (6, 7)]), (2, None, None)], "_id bigint, a struct<b:bigint,c:bigint>, l array<struct<x:bigint,y:bigint>>")
+    one, two = sorted(rows(aggregate(df, [{"$addFields": {"a.b": 20, "a.c": {"$add": ["$a.b", 1]}, "a.d.e": "new", "l.z": "$_id"}}])), key=lambda r: r["_id"])
+    assert one["a"] == {"b": 20, "c": 3, "d": {"e": "new"}} and one["l"] == [{"x": 4, "y": 5, "z": 1}, {"x": 6, "y": 7, "z": 1}]
+    assert two["a"] == {"b": 20, "c": None, "d": {"e": "new"}} and two["l"] is None
+    got = rows(aggregate(df, [{"$project": {"_id": 0, "p.q": "$a.b", "p.r": {"$size": "$l"}, "a.c": 1}}]))
+    assert got[0] == {"p": {"q": 2, "r": 2}, "a": {"c": 3}} and got[1] == {"p": {"q": None, "r": 0}, "a": None}
+    assert rows(aggregate(df, [{"$project": {"l.x": 0, "a.b": 0, "a.none": 0}}])) == [{"_id": 1, "a": {"c": 3}, "l": [{"y": 5}, {"y": 7}]}, {"_id": 2, "a": None, "l": None}]
+    assert rows(aggregate(df, [{"$unset": "a"}, {"$project": {"l": 0}}])) == [{"_id": 1}, {"_id": 2}]
+    for clash in ({"a": 1, "a.b": 2}, {"a.b": 1, "a.b.c": 2}):
+        with pytest.raises(PipelineError):
+            aggregate(df, [{"$addFields": clash}])
+
+
+def test_inside_lookup(spark):
+    """Stages after a correlated match run for each document by itself."""
+    left = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "_id bigint, k bigint")
+    right = spark.createDataFrame([(1, 10, "a", [1, 2]), (2, 10, "b", [3]), (3, 10, "a", []), (4, 20, "a", [5])], "_id bigint, fk bigint, t string, v array<bigint>")
+    match = {"$match": {"$expr": {"$eq": ["$fk", "$$k"]}}}
+
+    def inside(*more):
+        got = aggregate(left, [{"$lookup": {"from": "r", "let": {"k": "$k"}, "pipeline": [match, *more], "as": "out"}}], {"r": right})
+        return {r["_id"]: r["out"] for r in rows(got)}
+
+    assert inside({"$group": {"_id": "$t", "n": {"$count": {}}}}, {"$sort": {"_id": 1}}) == {1: [{"_id": "a", "n": 2}, {"_id": "b", "n": 1}], 2: [{"_id": "a", "n": 1}], 3: []}
+    assert inside({"$count": "n"}) == {1: [{"n": 3}], 2: [{"n": 1}], 3: []}
+    assert [d["v"] for d in inside({"$unwind": "$v"})[1]] == [1, 2, 3]
+
+
+def test_facet_reads_once(spark):
+    """An input that takes a shuffle is a checkpoint, which every branch reads."""
+    made = spark.range(100).repartition(3).selectExpr("id AS _id", "id % 5 AS k")
+    df = aggregate(made, [{"$group": {"_id": "$k", "n": {"$count": {}}}}, {"$facet": {"a": [{"$count": "n"}], "b": [{"$match": {"_id": {"$gt": 2}}}]}}])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (0" not in plan and plan.count("LogicalRDD") == 2
+    row = df.first()
+    assert row.a[0]["n"] == 5 and sorted(x["_id"] for x in row.b) == [3, 4]
+
+
+def test_facet_of_nothing(boats):
+    assert rows(aggregate(boats.where("false"), [{"$facet": {"count": [{"$count": "total"}], "names": [{"$project": {"name": 1, "_id": 0}}]}}])) == [{"count": [{"total": 0}], "names": []}]
 
 
 def test_lookup_and_graph(spark):
-    orders = spark.createDataFrame([(1, "laptop", 101), (2, "mouse", 102), (3, "keyboard", 101), (4, "monitor", 999)], "order_num bigint, item string, customer_id bigint")
-    people = spark.createDataFrame([(101, "Alice", "NYC"), (102, "Bob", "LA")], "customer_id bigint, name string, city string")
-    spec = {"from": "customers", "localField": "customer_id", "foreignField": "customer_id", "as": "customer"}
-    tables = {"customers": people}
-    got = rows(aggregate(orders, [{"$lookup": spec}, {"$match": {"customer.name": "Alice"}}], tables))
-    assert sorted(r["order_num"] for r in got) == [1, 3]
-    got = {r["order_num"]: r["names"] for r in rows(aggregate(orders, [{"$lookup": spec}, {"$project": {"order_num": 1, "names": "$customer.name"}}], tables))}
-    assert got == {1: ["Alice"], 2: ["Bob"], 3: ["Alice"], 4: []}
-    assert [r["order_num"] for r in rows(aggregate(orders, [{"$lookup": spec}, {"$match": {"customer": []}}], tables))] == [4]
-    assert all(r["customer"] == [] for r in rows(aggregate(orders, [{"$lookup": {**spec, "from": "none"}}], tables)))
-    tree = spark.createDataFrame([(1, "Alice", None), (2, "Bob", 1), (3, "Charlie", 1), (4, "Diana", 2), (5, "Eve", 2), (7, "Grace", 4), (8, "Henry", 4)], "employee_id bigint, name string, reports_to bigint")
-    up = {"from": "staff", "startWith": "$reports_to", "connectFromField": "reports_to", "connectToField": "employee_id", "as": "above", "depthField": "depth"}
-    got = {r["name"]: {a["name"]: a["depth"] for a in r["above"]} for r in rows(aggregate(tree, [{"$graphLookup": up}], {"staff": tree}))}
-    assert got["Henry"] == {"Diana": 0, "Bob": 1, "Alice": 2} and got["Alice"] == {}
-    got = {r["name"]: {a["name"] for a in r["above"]} for r in rows(aggregate(tree, [{"$graphLookup": {**up, "maxDepth": 1}}], {"staff": tree}))}
-    assert got["Grace"] == {"Diana", "Bob"}
-    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "node string, next string")
-    loop = {"from": "ring", "startWith": "$next", "connectFromField": "next", "connectToField": "node", "as": "chain"}
-    assert {len(r["chain"]) for r in rows(aggregate(ring, [{"$graphLookup": loop}], {"ring": ring}))} == {3}
-
-
-def test_graph_lookup_all(spark):
-    """Every event of a table of more than 1000, against walks up the tree one by one."""
-    sf = "/root/testdata/sf0.01"
-    ids = {r.event_id for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()}
-    want = {}
-    for i in ids:
-        n, node = 0, i
-        while node != node // 2 and node // 2 in ids:
-            n, node = n + 1, node // 2
-        want[i] = (n, n - 1 if n else None)
-    got = [(r.node, (r.n, r.deepest)) for r in QUERIES["graph_lookup_all"](spark, sf).collect()]
-    assert len(got) == len(want) > 1000 and dict(got) == want
-
-
-def test_unwind_all(spark):
-    """All turns of the table come out; null and empty arrays by a fixture."""
-    sf = "/root/testdata/sf0.001"
-    n = spark.read.parquet(f"{sf}/conversations.parquet").count()
-    assert all(QUERIES[q](spark, sf).count() == n > 0 for q in ("unwind_all", "unwind_preserve_all"))
+    trips = spark.createDataFrame([(1, "peat", 31), (2, "wool", 32), (3, "salt", 31), (4, "coal", 77)], "trip bigint, cargo string, boat bigint")
+    fleet = spark.createDataFrame([(31, "Heron", "Oban"), (32, "Skua", "Wick")], "boat bigint, name string, port string")
+    spec = {"from": "fleet", "localField": "boat", "foreignField": "boat", "as": "by"}
+    tables = {"fleet": fleet}
+    got = rows(aggregate(trips, [{"$lookup": spec}, {"$match": {"by.name": "Heron"}}], tables))
+    assert sorted(r["trip"] for r in got) == [1, 3]
+    got = {r["trip"]: r["names"] for r in rows(aggregate(trips, [{"$lookup": spec}, {"$project": {"trip": 1, "names": "$by.name"}}], tables))}
+    assert got == {1: ["Heron"], 2: ["Skua"], 3: ["Heron"], 4: []}
+    assert [r["trip"] for r in rows(aggregate(trips, [{"$lookup": spec}, {"$match": {"by": []}}], tables))] == [4]
+    assert all(r["by"] == [] for r in rows(aggregate(trips, [{"$lookup": {**spec, "from": "none"}}], tables)))
+    rivers = spark.createDataFrame([(10, "Tay", None), (11, "Earn", 10), (12, "Isla", 10), (13, "Ruchill", 11), (14, "Machany", 11), (15, "Knaik", 13)], "key bigint, name string, into bigint")
+    down = {"from": "rivers", "startWith": "$into", "connectFromField": "into", "connectToField": "key", "as": "below", "depthField": "depth"}
+    got = {r["name"]: {a["name"]: a["depth"] for a in r["below"]} for r in rows(aggregate(rivers, [{"$graphLookup": down}], {"rivers": rivers}))}
+    assert got["Knaik"] == {"Ruchill": 0, "Earn": 1, "Tay": 2} and got["Tay"] == {}
+    got = {r["name"]: {a["name"] for a in r["below"]} for r in rows(aggregate(rivers, [{"$graphLookup": {**down, "maxDepth": 1}}], {"rivers": rivers}))}
+    assert got["Knaik"] == {"Ruchill", "Earn"}
+    ring = spark.createDataFrame([("n", "e"), ("e", "s"), ("s", "w"), ("w", "n")], "at string, next string")
+    loop = {"from": "ring", "startWith": "$next", "connectFromField": "next", "connectToField": "at", "as": "chain"}
+    assert {len(r["chain"]) for r in rows(aggregate(ring, [{"$graphLookup": loop}], {"ring": ring}))} == {4}
+
+
+def test_unwind_null_and_empty(spark):
     docs = spark.createDataFrame([(1, [3, 4]), (2, None), (3, [])], "k bigint, turns array<bigint>")
     assert sorted((r["k"], r["turns"]) for r in rows(aggregate(docs, [{"$unwind": "$turns"}], order=["k"]))) == [(1, 3), (1, 4)]
     kept = rows(aggregate(docs, [{"$unwind": {"path": "$turns", "preserveNullAndEmptyArrays": True}}], order=["k"]))
@@ -105,7 +162,7 @@ def test_unwind_all(spark):
         ({"$substr": ["  Hello World  ", 2, 5]}, "Hello"), ({"$strlen": "  Hello World  "}, 15), ({"$trim": "\t x \n"}, "x"), ({"$split": ["a.b.", "."]}, ["a", "b", ""]), ({"$toupper": "ab"}, "AB"),
         ({"$size": {"$literal": [1, 2]}}, 2), ({"$size": "x"}, 0), ({"$arrayElemAt": [{"$literal": [1, 2, 3]}, -1]}, 3), ({"$arrayElemAt": [{"$literal": [1]}, 5]}, None), ({"$concatArrays": [{"$literal": [1]}, {"$literal": [2]}]}, [1, 2]),
         ({"$in": [3, {"$literal": [1, 3]}]}, True), ({"$slice": [{"$literal": [1, 2, 3, 4, 5]}, 1, 3]}, [2, 3, 4]), ({"$slice": [{"$literal": [1, 2, 3]}, -10]}, [1, 2, 3]), ({"$slice": [{"$literal": [1, 2, 3]}, 2]}, [1, 2]),
-        ({"$toInt": "12.5"}, None), ({"$toInt": " 42 "}, 42), ({"$toInt": 3.99}, 3), ({"$toDouble": "x"}, None), ({"$toBool": "false"}, True), ({"$isArray": "x"}, False), ({"$eq": [None, None]}, True), ({"$gt": [None, 1]}, False),
+        ({"$toInt": "12.5"}, None), ({"$toInt": " 42 "}, 42), ({"$toInt": 3.99}, 3), ({"$toDouble": "x"}, None), ({"$toBool": "false"}, True), ({"$isArray": "x"}, False), ({"$in": [1, "x"]}, None), ({"$arrayElemAt": ["x", 0]}, None), ({"$ceil": "x"}, None), ({"$eq": [None, None]}, True), ({"$gt": [None, 1]}, False),
         ({"$and": [1, "", True]}, False), ({"$or": [0, "a"]}, True), ({"$not": [0]}, True), ({"$cond": {"if": {"$gt": [1, 2]}, "then": "a", "else": "b"}}, "b"),
     ],
 )
@@ -114,11 +171,11 @@ def test_expressions(spark, expr, value):
     assert got == value
 
 
-def test_unknown_names_raise(staff):
+def test_unknown_names_raise(boats):
     with pytest.raises(PipelineError):
-        aggregate(staff, [{"$nothing": {}}])
+        aggregate(boats, [{"$nothing": {}}])
     with pytest.raises(ExpressionError):
-        aggregate(staff, [{"$addFields": {"x": {"$nothing": 1}}}])
+        aggregate(boats, [{"$addFields": {"x": {"$nothing": 1}}}])
 
 
 def test_projection(spark):
