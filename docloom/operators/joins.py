@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +29,10 @@ def foreign(spec: dict, ctx) -> DataFrame | None:
     return None if table is None else ordered(table)
 
 
+#: A filter that says more than that something is there, or a limit.
+FILTERED = re.compile(r"^[\s:+-]*(Filter (?!isnotnull\([^()]*\)$)|GlobalLimit)", re.M)
+
+
 def lookup(df: DataFrame, spec: dict, ctx) -> DataFrame:
     """Left nest join: the matching foreign documents as an array, in their order; null matches null."""
     right = foreign(spec, ctx)
@@ -35,6 +41,10 @@ def lookup(df: DataFrame, spec: dict, ctx) -> DataFrame:
     if "pipeline" in spec:
         return correlated(df, right, spec, ctx)
     docs = right.select(key_of(right, spec["foreignField"]).alias("__k"), whole(right).alias("__doc"), ORD)
+    if FILTERED.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        # few local documents: only foreign ones that some of them want are gathered
+        wanted = df.select(key_of(df, spec["localField"]).alias("__w")).distinct()
+        docs = docs.join(wanted, F.col("__k").eqNullSafe(F.col("__w")), "left_semi")
     nested = docs.groupBy("__k").agg(in_order(F.col("__doc"), F.col(ORD)).alias("__docs"))
     empty = F.array().cast(nested.schema["__docs"].dataType)
     out = df.withColumn("__l", key_of(df, spec["localField"]))
@@ -131,6 +141,12 @@ def fuse(df: DataFrame, stages: list[dict], ctx):
         how = "left" if body.get("preserveNullAndEmptyArrays") else "inner"
         out = left.join(docs, F.col("__l").eqNullSafe(F.col("__k")), how)
         return out.withColumn(ORD, F.struct(F.col(ORD).alias("was"), F.col("__o").alias("at"))).drop("__l", "__k", "__o"), 2
+    if name == "$match" and isinstance(body, dict) and (inner := inner_test(body, at)) and leaves_behind(stages[2:], at):
+        from ..plans import pipeline
+
+        # some document of the array holds the value: a semi join with those that do
+        keys = right.where(pipeline.predicate(inner, right)).select(key_of(right, spec["foreignField"]).alias("__k"))
+        return left.join(keys, F.col("__l").eqNullSafe(F.col("__k")), "left_semi").drop("__l"), 2
     if name == "$match" and isinstance(body, dict) and set(body) == {at} and body[at] in ([], {"$ne": []}, {"$eq": []}):
         anti = body[at] != {"$ne": []}
         if not anti and not leaves_behind(stages[2:], at):
@@ -142,6 +158,21 @@ def fuse(df: DataFrame, stages: list[dict], ctx):
     return None
 
 
+def inner_test(body: dict, at: str) -> dict | None:
+    """The filter for single foreign documents, if body is one positive test of a field inside the array."""
+    ((key, value), *more) = body.items()
+    if more or not isinstance(key, str) or not key.startswith(f"{at}."):
+        return None
+    if isinstance(value, dict):
+        positive = len(value) == 1 and set(value) <= {"$eq", "$in", "$gt", "$gte", "$lt", "$lte"}
+        operands = next(iter(value.values())) if positive else None
+    else:
+        positive, operands = not isinstance(value, (list, tuple)), value
+    if not positive or operands is None or isinstance(operands, dict) or isinstance(operands, (list, tuple)) and None in operands:
+        return None
+    return {key[len(at) + 1 :]: value}
+
+
 def leaves_behind(stages: list[dict], at: str) -> bool:
     """Whether later stages drop the array before anything reads it."""
     for stage in stages:

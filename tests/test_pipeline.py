@@ -96,6 +96,20 @@ def test_paths_in_stages(spark):
             aggregate(df, [{"$addFields": clash}])
 
 
+def test_lookup_of_few(spark):
+    """Few local documents gather only what they want; a test inside the array alone is a semi join."""
+    left = spark.range(100).selectExpr("id AS _id", "id % 7 AS k")
+    right = spark.range(50).selectExpr("id AS _id", "id % 10 AS k", "id AS v")
+    look = {"$lookup": {"from": "r", "localField": "k", "foreignField": "k", "as": "a"}}
+    few = aggregate(left, [{"$match": {"_id": {"$lt": 2}}}, look], {"r": right})
+    assert "LeftSemi" in few._jdf.queryExecution().optimizedPlan().toString()
+    assert {r._id: [d["v"] for d in r.a] for r in few.collect()} == {0: [0, 10, 20, 30, 40], 1: [1, 11, 21, 31, 41]}
+    for test, want in (({"a.v": {"$gt": 45}}, {6}), ({"a.v": 12}, {2}), ({"a.v": {"$in": [3, 14]}}, {3, 4}), ({"a.v": {"$ne": 12}}, {0, 1, 3, 4, 5, 6}), ({"a.v": {"$gt": 45, "$lt": 3}}, set())):
+        df = aggregate(left, [look, {"$match": test}, {"$project": {"k": 1}}], {"r": right})
+        assert {r.k for r in df.collect()} == want
+        assert ("LeftSemi" in df._jdf.queryExecution().optimizedPlan().toString()) == (list(test.values())[0] not in ({"$ne": 12}, {"$gt": 45, "$lt": 3}))
+
+
 def test_inside_lookup(spark):
     """Stages after a correlated match run for each document by itself."""
     left = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "_id bigint, k bigint")
