@@ -6,7 +6,7 @@ others as named users; the loss mask is 1 on what the assistant says and 0 on he
 A dialogue is returned as its segments, one row per conversation, perspective and turn: conv_id, perspective, turn,
 seq (place in the dialogue, from 0), segment (its rendered text), seg_start and seg_end (code points in the
 rendered dialogue), mask_start and mask_end (the masked span; null where nothing is learnt).
-``assemble`` joins the segments of each dialogue into one text with its list of spans.
+``assemble`` joins the segments of each dialogue into one text with its list of spans (query perspective_dialogues).
 
 Cases: a null role takes part as ``unknown``; a null text is empty; rows with a null conv_id form one conversation;
 a null turn comes first. Ties of turn are ordered by role, then text; repeated rows are turns of their own.
@@ -14,7 +14,7 @@ An empty table gives an empty result. Extra columns are ignored.
 
 Scale: turns are dealt by (conversation, run of ``chunk`` turn numbers), so a hot conversation is spread; offsets are
 prefix sums inside a chunk plus the sums of the chunks before. The only rows that meet per conversation are one per
-chunk and role.
+chunk and role. Turns of one conversation that share a turn number are put in order in one task, however many there are.
 """
 
 from __future__ import annotations
@@ -63,16 +63,25 @@ def rotate(turns: DataFrame, chunk: int = 1024) -> DataFrame:
     )
 
 
-def assemble(segments: DataFrame) -> DataFrame:
-    """A row per dialogue and perspective: rendered text and masked spans. A dialogue must fit one row."""
-    parts = F.array_sort(F.collect_list(F.struct("seq", "segment", "mask_start", "mask_end")))
-    return segments.groupBy("conv_id", "perspective").agg(parts.alias("parts")).select(
-        "conv_id", "perspective",
+def assemble(segments: DataFrame, most: int = 1024) -> DataFrame:
+    """Rendered dialogues with their masked spans: conv_id, perspective, part, start (of its text in the dialogue), rendered,
+    masks (spans in the dialogue). A dialogue of up to ``most`` turns is one row, part 0; longer ones go on in further parts."""
+    parts = F.array_sort(F.collect_list(F.struct("seq", "segment", "seg_start", "mask_start", "mask_end")))
+    grouped = segments.groupBy("conv_id", "perspective", F.floor(F.col("seq") / most).alias("part")).agg(parts.alias("parts"))
+    return grouped.select(
+        "conv_id", "perspective", "part",
+        F.col("parts")[0]["seg_start"].alias("start"),
         F.array_join(F.transform("parts", lambda x: x["segment"]), "").alias("rendered"),
         F.filter(F.transform("parts", lambda x: F.struct(x["mask_start"].alias("start"), x["mask_end"].alias("end"))), lambda x: x["start"].isNotNull()).alias("masks"),
     )
 
 
+def dialogues(spark, sf_dir: str) -> DataFrame:
+    """Every dialogue from every perspective, as text with its masks written start-end."""
+    whole = assemble(rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return whole.withColumn("masks", F.array_join(F.transform("masks", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), " "))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -88,3 +97,9 @@ o AS (SELECT *, row_number() OVER w - 1 AS seq, (sum(length(segment)) OVER (PART
 SELECT conv_id, perspective, turn, seq, segment, seg_end - length(segment) AS seg_start, seg_end,
   CASE WHEN mine THEN seg_end - length(segment) + {len(ASSISTANT)} END AS mask_start, CASE WHEN mine THEN seg_end END AS mask_end FROM o
 """
+
+DIALOGUES_SQL = f"""
+WITH s AS ({ORACLE_SQL.strip()})
+SELECT conv_id, perspective, seq // 1024 AS part, min(seg_start)::BIGINT AS start, string_agg(segment, '' ORDER BY seq) AS rendered,
+  coalesce(string_agg(mask_start || '-' || mask_end, ' ' ORDER BY seq) FILTER (mask_start IS NOT NULL), '') AS masks FROM s GROUP BY conv_id, perspective, seq // 1024
+"""

@@ -8,6 +8,7 @@ from . import chat, gbt, licenses, linedup, lsh, minhash, mixing, mtree, packing
 def queries():
     return {
         "op1_perspective_rotation": chat.query,
+        "perspective_dialogues": chat.dialogues,
         "op2_mtree_topk": mtree.query,
         "op3_license_scan": licenses.query,
         "op4_collision_counting": lsh.query,
@@ -23,6 +24,7 @@ def queries():
 def oracle_sql():
     return {
         "op1_perspective_rotation": chat.ORACLE_SQL,
+        "perspective_dialogues": chat.DIALOGUES_SQL,
         "op2_mtree_topk": mtree.ORACLE_SQL,
         "op3_license_scan": licenses.ORACLE_SQL,
         "op6_source_mix": mixing.ORACLE_SQL,

@@ -46,6 +46,14 @@ def test_rotation(spark, chunk):
     for r in chat.rotate(df, chunk).collect():
         assert got[r.conv_id, r.perspective][0][r.seg_start : r.seg_end] == r.segment
     assert chat.rotate(df.where("false")).count() == 0
+    # parts of long dialogues: the texts follow one another
+    parts = chat.assemble(chat.rotate(df, chunk), most=2).orderBy("part").collect()
+    joined = {}
+    for r in parts:
+        assert r.start == len(joined.get((r.conv_id, r.perspective), ("", []))[0])
+        text, masks = joined.get((r.conv_id, r.perspective), ("", []))
+        joined[r.conv_id, r.perspective] = text + r.rendered, masks + [tuple(m) for m in r.masks]
+    assert joined == got and max(r.part for r in parts) > 0
 
 
 def brute_licenses(rows, threshold=0.8):
