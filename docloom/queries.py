@@ -498,6 +498,27 @@ def store_unique_index(spark, sf_dir):
     return spark.createDataFrame([(n, i["unique"], c.count_documents()) for n, i in c.list_indexes().items() if c.get_index(name)], "index string, unique boolean, n long")
 
 
+@query("SELECT count(*) FILTER (n_regionkey = 1) AS before, count(*) FILTER (n_regionkey = 1) + 1 AS after, 2::BIGINT AS hits, 2::BIGINT AS misses, 2::BIGINT AS asked, 'sort or bucket by n_regionkey (2 filters)' AS hint FROM nation")
+def store_cache_and_planner(spark, sf_dir):
+    """Counts are answered by the cache until the collection changes; what ran is recorded, with a hint for its layout."""
+    c = stored(spark, sf_dir, "nation")
+    spec = {"n_regionkey": 1}
+    before = [c.count_documents(spec) for _ in range(3)]
+    c.insert_one(spec)
+    after = c.count_documents(spec)
+    found, (shape,) = c.cache_stats(), c.query_patterns()
+    return spark.createDataFrame([(min(before), after, found["hits"], found["misses"], shape["count"], c.suggest_indexes(2)[0])], "before long, after long, hits long, misses long, asked long, hint string")
+
+
+@query("SELECT (SELECT count(*) FROM customer) AS now, (SELECT count(*) FROM customer) AS was, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS gone")
+def store_versions(spark, sf_dir):
+    """An earlier version is read as it was."""
+    c = stored(spark, sf_dir, "customer", "c_custkey", "c_acctbal")
+    first = c.manifest()["version"]
+    gone = c.delete_many({"c_acctbal": {"$lt": 0}}).deleted_count
+    return spark.createDataFrame([(c.count_documents() + gone, c.as_of(first).dataframe().count(), gone)], "now long, was long, gone long")
+
+
 @query("SELECT n_nationkey, n_regionkey, 1::BIGINT AS log FROM nation WHERE n_regionkey <> 2")
 def store_transaction(spark, sf_dir):
     """Two collections change together; one that is given up, or meets a newer version, changes nothing."""
