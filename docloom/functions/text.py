@@ -58,15 +58,14 @@ class TextIndex:
         self.df, self.fields, self.id_col, self.name = df, fields, id_col, name or "fulltext_" + "_".join(fields)
         self.saved = saved
 
-    def build(self) -> DataFrame:
-        """Postings. One with a null term stands for each document, so that their number needs no other table."""
+    def _words(self) -> DataFrame:
+        """id, length, term: a row per word, and one with a null term for each document, so that their number needs no other table."""
         found = self.df.select(F.col(self.id_col).alias("id"), F.explode(F.array(tokens(joined(self.df, self.fields)))).alias("words")).where(F.size("words") > 0)
-        terms = found.select("id", F.size("words").cast("bigint").alias("length"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
-        return terms.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+        return found.select("id", F.size("words").cast("bigint").alias("length"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
 
-    @property
-    def postings(self) -> DataFrame:
-        return self.saved if self.saved is not None else self.build()
+    def build(self) -> DataFrame:
+        """Postings."""
+        return self._words().groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
     def save(self, path: str) -> TextIndex:
         """Writes the postings, those of a term together, and searches by them from now on."""
@@ -84,11 +83,12 @@ class TextIndex:
             rows = wanted.groupBy("id", "length").agg(*tfs).select("id", "length", F.array(*(f"t{i}" for i in range(len(terms)))).alias("tfs"))
         else:
             low = self.df.select(F.col(self.id_col).alias("id"), F.explode(F.array(F.lower(joined(self.df, self.fields)))).alias("low"))
-            some = reduce(or_, [F.col("low").contains(t) for t in terms])
-            words = low.select("id", F.col("low").rlike(ANY_TOKEN).alias("counts"), F.explode(F.array(F.when(some, of_lower(F.col("low"))))).alias("words"))
-            tfs = F.array(*(F.coalesce(F.size(F.filter("words", same_as(t))).cast("bigint"), F.lit(0)) for t in terms))
-            rows = words.select("id", "counts", F.size("words").cast("bigint").alias("length"), F.when(F.col("words").isNotNull(), tfs).alias("tfs"))
-            rows, n = rows.observe(seen_all := Observation(), F.count_if("counts").alias("n")), None
+            # whole words of letters, digits and _ only, so a term is found as it stands; most texts lack its letters altogether
+            found = F.when(reduce(or_, [F.col("low").contains(t) for t in terms]), F.regexp_extract_all("low", F.lit(rf"(?U)(?<!\w)(?:{'|'.join(terms)})(?!\w)"), F.lit(0)))
+            hits = low.select("id", "low", F.col("low").rlike(ANY_TOKEN).alias("counts"), F.explode(F.array(found)).alias("found"))
+            hits, n = hits.observe(seen_all := Observation(), F.count_if("counts").alias("n")), None
+            tfs = F.array(*(F.size(F.filter("found", same_as(t))).cast("bigint") for t in terms))
+            rows = hits.where(F.size("found") > 0).select("id", F.size(of_lower(F.col("low"))).cast("bigint").alias("length"), tfs.alias("tfs"))
         rows = rows.where(F.exists("tfs", lambda x: x > 0)).observe(seen, *(F.count_if(F.col("tfs")[i] > 0).alias(f"d{i}") for i in range(len(terms))))
         hits = checkpoint(rows.select("id", "length", "tfs"))
         return hits, seen_all.get["n"] if n is None else n, [seen.get[f"d{i}"] for i in range(len(terms))]
@@ -105,8 +105,8 @@ class TextIndex:
         return best.limit(limit) if limit else best
 
     def stats(self) -> DataFrame:
-        """One row, from one pass over the postings: they are met by term, then summed up."""
-        by_term = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"))
+        """One row, from one pass over the texts or postings: summed up by term, then over all terms."""
+        by_term = (self._words() if self.saved is None else self.saved).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"))
         document = F.col("term").isNull()
         whole = by_term.agg(F.count_if(~document).alias("vocabulary_size"), F.coalesce(F.sum(F.when(document, F.col("n"))), F.lit(0)).alias("num_documents"), F.sum(F.when(document, F.col("length"))).alias("length"))
         return whole.select("vocabulary_size", "num_documents", F.coalesce(F.try_divide(F.col("length").cast("double"), F.col("num_documents")), F.lit(0.0)).alias("avg_doc_length"))
