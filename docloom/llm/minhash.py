@@ -40,6 +40,10 @@ SIGNATURE = BANDS * ROWS
 ENOUGH = 82
 
 
+#: Edges of a file, where there are that many.
+PER_FILE = 100_000
+
+
 def universal() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
     return rng.integers(0, 2**63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, SIGNATURE, dtype=np.uint64)
@@ -264,7 +268,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFr
 
     edges: u, v. Returns node, label (the smallest node of its component).
     """
-    now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{tag}-0")
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    # stars never have more edges than there are links: few links needn't be a file for each partition, round by round
+    files = max(1, -(-edges.count() // PER_FILE))
+    now = scratch.save(edges.distinct().coalesce(files), f"{tag}-0")
     for k in itertools.count(1):
         ends = now.select(F.col("u").alias("node"), F.lit(1).alias("hangs")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("hangs")))
         if not ends.groupBy("node").agg(F.sum("hangs").alias("n"), F.min("hangs").alias("low")).where("n > 1 or n = 1 and low = 0").count():
@@ -274,7 +281,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFr
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = scratch.save(small, f"{tag}-{k}")
+        now = scratch.save(small.coalesce(files), f"{tag}-{k}")
         scratch.drop(f"{tag}-{k - 1}")
     # stars of (node, smallest): the smallest names itself
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
