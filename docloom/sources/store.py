@@ -69,6 +69,8 @@ class DeleteResult:
 class Files:
     """Small files and folders through Hadoop's file systems, so any path that Spark reads will do."""
 
+    links = True
+
     def __init__(self, spark: SparkSession):
         self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
@@ -101,10 +103,10 @@ class Files:
         stream.write(bytearray(content.encode()))
         stream.close()
         try:
-            if fs.getUri().getScheme() == "file":  # a rename there would replace what it finds
+            if self.links and fs.getUri().getScheme() == "file":  # atomic on a local disk, where a rename only looks first
                 os.link(new.toUri().getPath(), p.toUri().getPath())
                 return True
-            none = self.jvm.java.lang.reflect.Array.newInstance(getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename")._java_lang_class, 0)
+            none = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.org.apache.hadoop.fs.Options.Rename._java_lang_class, 0)
             self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf).rename(new, p, none)
             return True
         except FileExistsError:

@@ -184,6 +184,15 @@ def test_types_meet(spark, tmp_path):
     assert sorted(f.name for f in got.schema["m"].dataType.fields) == ["datetime", "decimal"]
 
 
+@pytest.mark.parametrize("links", [True, False])
+def test_create_if_absent(spark, tmp_path, monkeypatch, links):
+    """By a link on local disks, by a rename that doesn't overwrite elsewhere."""
+    monkeypatch.setattr(store.Files, "links", links)
+    files = store.Files(spark)
+    assert files.create(f"{tmp_path}/d/a.json", "one") and not files.create(f"{tmp_path}/d/a.json", "two")
+    assert files.read(f"{tmp_path}/d/a.json") == "one" and files.names(f"{tmp_path}/d") == ["a.json"]
+
+
 def test_two_writers(spark, tmp_path):
     """Of writers that start from one version one commits; the others fail and lose nothing of its."""
     Collection(spark, str(tmp_path / "c")).insert_many([{"k": 0}])
