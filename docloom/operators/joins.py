@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..plans.expressions import Scope, compile_expr
 from ..plans.order import ORD, in_order, ordered
 from ..plans.paths import resolve
-from ..plans.session import checkpoint
+from ..plans.session import checkpoint, stored
 
 
 def whole(df: DataFrame):
@@ -184,44 +184,139 @@ def leaves_behind(stages: list[dict], at: str) -> bool:
     return False
 
 
-def graph_lookup(df: DataFrame, spec: dict, ctx) -> DataFrame:
-    """Breadth-first search by one join a level, for all distinct starting values together.
+def fields_read(stages: list[dict], at: str) -> set[str] | None:
+    """Fields of the documents in the array that later stages read; None: whole documents, or not known."""
+    if not stages or "." in at:
+        return None
+    ((name, body),) = stages[0].items()
+    if not isinstance(body, dict) or name == "$project" and not any(v not in (0, False) for v in body.values()) or name not in ("$project", "$group"):
+        return None
+    if name == "$project" and any(k.split(".")[0] == at for k in body):
+        return None
+    found: set[str] = set()
+
+    def known(x) -> bool:
+        if isinstance(x, str):
+            if x.startswith(f"${at}."):
+                found.add(x.split(".")[1])
+            return x != f"${at}" and not x.startswith("$$")
+        if isinstance(x, dict):
+            return x == {"$size": f"${at}"} or all(map(known, x.values()))
+        return all(map(known, x)) if isinstance(x, (list, tuple)) else True
+
+    return found if known(body) else None
+
+
+def graph_lookup(df: DataFrame, spec: dict, ctx, fields: set[str] | None = None) -> DataFrame:
+    """Breadth-first search for all distinct starting values together; a document's depth is that of its value.
 
-    A document is reached once per start, at its least depth. Every level is a checkpoint; what has been visited is
-    removed by an anti join, so cycles end.
+    ``chains`` answers where values lead to one value each and all that are reached are starts themselves, ``levels`` elsewhere.
+    fields: what later stages read of the documents, if not all.
     """
     from ..plans import pipeline
 
     df, right = ordered(df), foreign(spec, ctx)
-    at, limit = spec["as"], spec.get("maxDepth")
+    at, limit, named = spec["as"], spec.get("maxDepth"), spec.get("depthField")
     if right is None:
         return df.withColumn(at, F.array())
     if where := spec.get("restrictSearchWithMatch"):
         right = pipeline.match(right, where, ctx)
+    if pipeline.WIDE.search(right._jdf.queryExecution().optimizedPlan().toString()):
+        right = checkpoint(right)
+    kept = [c for c in right.columns if not c.startswith("__") and (fields is None or c in fields)]
+
+    def doc(depth, row=None):
+        cols = {c: F.col(f"`{c}`") if row is None else row.getField(c) for c in kept}
+        if named and (fields is None or named in fields):
+            cols[named] = depth.cast("bigint")
+        return F.struct(*(c.alias(n) for n, c in (cols or {"__none": F.lit(0)}).items()))
+
+    empty = F.array().cast(T.ArrayType(right.select(doc(F.lit(0)).alias("d")).schema["d"].dataType))
     start = compile_expr(spec["startWith"], Scope(df))
-    many = isinstance(Scope(df).type_of(start), T.ArrayType)
+    to, start_kind = resolve(right.schema, spec["connectToField"]), Scope(df).type_of(start)
+    if to is None or T.NullType() in (to[1], start_kind) or limit is not None and limit < 0:
+        return df.withColumn(at, empty)
     link, link_kind = resolve(right.schema, spec["connectFromField"]) or (F.lit(None), T.NullType())
-    onward = link if isinstance(link_kind, T.ArrayType) else F.array(link)
-    ident = F.col("_id") if "_id" in right.columns else F.xxhash64(*(F.col(f"`{c}`") for c in right.columns if not c.startswith("__")))
-    docs = checkpoint(right.select(key_of(right, spec["connectToField"]).alias("to"), onward.alias("onward"), ident.alias("id"), F.col(ORD).alias("o"), whole(right).alias("doc")))
-    edges = docs.select("to", "id", "onward")
+    docs = right.select(to[0].alias("to"), (link if isinstance(link_kind, T.ArrayType) else F.array(link)).alias("onward"), F.col(ORD).alias("o"), F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in kept)).alias("doc")).where("to is not null")
+    tos = docs.groupBy("to").agg(F.count(F.lit(1)).alias("n"))
+
+    def reaching(rows: DataFrame) -> DataFrame:
+        """Distinct rows with the documents' value (to) that their value equals; those that equal none go."""
+        rows = rows.where("value is not null").distinct()
+        return rows.join(tos.select("to"), F.col("value") == F.col("to")).drop("value")
+
+    links = stored(reaching(docs.select(F.col("to").alias("of"), F.explode("onward").alias("value"))))
     starts = df.select(start.alias("start")).where("start is not null").distinct()
-    frontier = starts.select("start", (F.explode("start") if many else F.col("start")).alias("value")).where("value is not null").distinct()
-    visited, depth = None, 0
-    while limit is None or depth <= limit:
-        reached = frontier.join(edges, F.col("value") == F.col("to")).select("start", "id", "onward").dropDuplicates(["start", "id"])
-        if visited is not None:
-            reached = reached.join(visited.select("start", "id"), ["start", "id"], "left_anti")
-        reached = checkpoint(reached)
-        if reached.isEmpty():
-            break
-        level = reached.select("start", "id", F.lit(depth).cast("bigint").alias("depth"))
-        visited = level if visited is None else visited.unionByName(level)
-        frontier = reached.select("start", F.explode("onward").alias("value")).where("value is not null").distinct()
-        depth += 1
-    if visited is None:
-        visited = starts.join(docs, F.lit(False)).select("start", "id", F.lit(0).cast("bigint").alias("depth"))
-    doc = F.col("doc").withField(spec["depthField"], F.col("depth")) if spec.get("depthField") else F.col("doc")
-    nested = visited.join(docs, "id").groupBy("start").agg(in_order(doc, F.struct("depth", "o")).alias("__docs"))
+    many = isinstance(start_kind, T.ArrayType)
+    first = stored(reaching(starts.select("start", (F.explode("start") if many else F.col("start")).alias("value"))))
+    paths = chains(first.select("to").distinct(), links, limit)
+    if paths is not None and not kept and not many and tos.agg(F.max("n")).first()[0] == 1:
+        # nothing is read of the documents, each value has one: the paths say all
+        paths = paths.withColumnRenamed("to", "start") if start_kind == to[1] else first.join(paths, "to")
+        nested = paths.select("start", F.transform("path", lambda x, i: doc(i)).alias("__docs"))
+    else:
+        if paths is not None:
+            pairs = first.join(paths, "to").select("start", F.posexplode("path").alias("depth", "to"))
+            pairs = pairs.groupBy("start", "to").agg(F.min("depth").alias("depth")) if many else pairs
+        else:
+            pairs = levels(first, links, limit)
+        rows = pairs.join(docs.select("to", "o", "doc"), "to").repartition("start")
+        nested = rows.groupBy("start").agg(in_order(doc(F.col("depth"), F.col("doc")), F.struct("depth", "o")).alias("__docs"))
     out = df.withColumn("__start", start).join(nested, F.col("__start") == F.col("start"), "left")
-    return out.withColumn(at, F.coalesce("__docs", F.array().cast(nested.schema["__docs"].dataType))).drop("__start", "start", "__docs")
+    return out.withColumn(at, F.coalesce("__docs", empty)).drop("__start", "start", "__docs")
+
+
+def chains(values: DataFrame, links: DataFrame, limit: int | None) -> DataFrame | None:
+    """(to, path: the values from to on, each at its depth); None if some value leads to several, or out of the values.
+
+    Paths double: every round appends, to each that isn't at its end, the path of the value after its last. So there is one round
+    for a depth twice as large, and paths are no more than the result. One that comes back to a value of its own ends there.
+    """
+    ahead = links.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.min("to").alias("then")).withColumnRenamed("of", "to")
+    ahead = stored(values.join(ahead, "to", "left"))
+    if (ahead.agg(F.max("n")).first()[0] or 0) > 1 or not ahead.where("then is not null").select("then").distinct().join(values, F.col("then") == F.col("to"), "left_anti").isEmpty():
+        return None
+
+    def cut(path, then) -> list:
+        if limit is not None:
+            path, then = F.slice(path, 1, limit + 1), F.when(F.size(path) <= limit, then)
+        return [path.alias("path"), then.alias("then")]
+
+    paths, ended = ahead.select("to", *cut(F.array("to"), F.col("then"))), None
+    while True:
+        done, paths = paths.where("then is null"), paths.where("then is not null")
+        ended = done if ended is None else ended.unionByName(done)
+        if paths.isEmpty():
+            return ended.select("to", "path")
+        # as files, the few that are wanted are seen to be small, and then no path moves
+        wanted = stored(paths.select("then").distinct())
+        more = stored(ended.unionByName(paths).join(wanted.select(F.col("then").alias("to")), "to", "left_semi").select(F.col("to").alias("next"), F.col("path").alias("more"), F.col("then").alias("beyond")))
+        rows = paths.join(more, F.col("then") == F.col("next"))
+        round_trip = F.arrays_overlap("path", "more")
+        path = F.when(round_trip, F.array_distinct(F.concat("path", "more"))).otherwise(F.concat("path", "more"))
+        paths = stored(rows.select("to", *cut(path, F.when(~round_trip, F.col("beyond")))))
+
+
+def levels(first: DataFrame, links: DataFrame, limit: int | None) -> DataFrame:
+    """(start, to, depth), level by level.
+
+    What was reached before is taken out by an anti join once as much has come since the last one as there was then: all of
+    these together read a few times what there is, however deep the graph. In between values may come again, deeper.
+    """
+    found, reached, depth, clean, since, again = None, first.select("start", "to"), 0, 0, 0, False
+    while True:
+        level = reached.select("start", "to", F.lit(depth).alias("depth"))
+        n = level.count()
+        if found is not None and not n:
+            break
+        found = level if found is None else found.unionByName(level)
+        since += n
+        if not n or limit is not None and depth >= limit:
+            break
+        new = reached.withColumnRenamed("to", "of").join(links, "of").select("start", "to").distinct()
+        if since >= clean:
+            new, clean, since = new.join(found.select("start", "to"), ["start", "to"], "left_anti"), clean + since, 0
+        else:
+            again = True
+        reached, depth = stored(new), depth + 1
+    return found.groupBy("start", "to").agg(F.min("depth").alias("depth")) if again else found

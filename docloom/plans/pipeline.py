@@ -305,6 +305,8 @@ def apply(df: DataFrame, stages: list[dict], ctx: Context | Mapping | None = Non
             continue
         if top and name in ("$skip", "$limit"):
             df = df.offset(spec) if name == "$skip" else df.limit(spec)
+        elif name == "$graphLookup":
+            df = joins.graph_lookup(df, spec, ctx, joins.fields_read(stages[i + 1 :], spec["as"]))
         else:
             df = STAGES[name](df, spec, ctx)
         top = name in ("$sort", "$skip", "$limit", "$sortByCount")
