@@ -58,18 +58,30 @@ class TextIndex:
         self.df, self.fields, self.id_col, self.name = df, fields, id_col, name or "fulltext_" + "_".join(fields)
         self.saved = saved
 
+    def _found(self) -> DataFrame:
+        """id, words: documents that have any."""
+        return self.df.select(F.col(self.id_col).alias("id"), F.explode(F.array(tokens(joined(self.df, self.fields)))).alias("words")).where(F.size("words") > 0)
+
     def _words(self) -> DataFrame:
         """id, length, term: a row per word, and one with a null term for each document, so that their number needs no other table."""
-        found = self.df.select(F.col(self.id_col).alias("id"), F.explode(F.array(tokens(joined(self.df, self.fields)))).alias("words")).where(F.size("words") > 0)
-        return found.select("id", F.size("words").cast("bigint").alias("length"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
+        return self._found().select("id", F.size("words").cast("bigint").alias("length"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
 
     def build(self) -> DataFrame:
-        """Postings."""
-        return self._words().groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+        """Postings: for each document a row per term, and one with a null term. All its words are in its row, so none moves."""
+        rows = self._found().select("id", F.explode(F.array(F.sort_array("words"))).alias("words"))
+        n = F.size("words")
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get("words", i) != F.get("words", i - 1)))
+        runs = rows.select("id", "words", F.explode(F.array(F.concat(F.array(F.lit(0)), ends))).alias("ends"))
+        flat = runs.select("id", "words", "ends", F.posexplode("ends").alias("at", "end"))
+        tf = F.when(F.col("at") == 0, 1).otherwise(F.col("end") - F.get("ends", F.col("at") - 1))
+        return flat.select("id", n.cast("bigint").alias("length"), F.get("words", F.col("end") - 1).alias("term"), tf.cast("bigint").alias("tf"))
 
     def save(self, path: str) -> TextIndex:
-        """Writes the postings, those of a term together, and searches by them from now on."""
-        self.build().repartitionByRange(F.col("term").asc_nulls_first()).sortWithinPartitions("term").write.parquet(path)
+        """Writes the postings, in each file those of a term together, and searches by them from now on.
+
+        A file has the postings of the documents of one partition, so none is shuffled; a search reads a term's pages in each.
+        """
+        self.build().sortWithinPartitions("term").write.parquet(path)
         self.saved = self.df.sparkSession.read.parquet(path)
         return self
 
